@@ -3,7 +3,10 @@
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +93,15 @@ def text_or_empty(text: str | Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def slices(batch: pa.RecordBatch, text: str, size_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about so many bytes of text, so that what is made from them stays small."""
+    lengths, start, size = pc.binary_length(batch.column(text)).to_pylist(), 0, 0
+    for i, n in enumerate(lengths):
+        size += n
+        if size >= size_bytes:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)

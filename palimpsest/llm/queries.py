@@ -2,11 +2,18 @@
 
 from .bpe import op1_byte_bpe
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .line_dedup import OP5_SQL, op5_line_dedup
+from .mixing import op2_mix_sources
+from .sharding import op7_shards
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_shards": op7_shards,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
+    "op5_line_dedup": OP5_SQL,
 }
