@@ -13,21 +13,31 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import common
+from .common import slices
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Longer texts are encoded piece by piece, cut where the pattern must end a match; so memory doesn't follow the longest text.
-PIECE_CHARS = 1 << 16
-#: Texts are encoded together up to so many characters.
-BATCH_CHARS = 1 << 18
-#: Between a character that isn't white space and one that is, every match of the pattern ends.
-_CUT = re.compile(r"\S(?=\s)")
+#: A word and the white space before it, without the ASCII punctuation that follows letters. The pattern ends every match
+#: where white space follows anything else and where such punctuation follows a letter, so words encoded one by one give
+#: the ids of the text. U+001C to U+001F are no white space to the pattern.
+_WORD = re.compile(r"[^\S\x1c-\x1f]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-/:-@\[-`{-~])|[\S\x1c-\x1f]+)|[^\S\x1c-\x1f]+")
+#: Longer texts are encoded piece by piece, so that memory doesn't follow the longest text; a piece ends with a word.
+PIECE_CHARS = 1 << 20
+_CUT = re.compile(r"[\S\x1c-\x1f](?=[^\S\x1c-\x1f])")
+#: Words whose ids a worker remembers, and the longest of them.
+CACHE_WORDS = 1_000_000
+CACHE_CHARS = 48
+#: So many new words are encoded as one text.
+JOINED_WORDS = 5_000
+_INNER = re.compile(r" [\S\x1c-\x1f]+")
 
 
 @lru_cache(1)
@@ -72,9 +82,7 @@ def model_json(path: str, pattern: str = public_tokenizers.PATTERN) -> str:
 
 
 def cut(text: str, piece_chars: int = PIECE_CHARS) -> list[str]:
-    """text in pieces of about piece_chars whose ids, one after another, are those of the text. A longer stretch without white space stays whole."""
-    if len(text) <= piece_chars:
-        return [text]
+    """text in pieces of about piece_chars; a longer stretch without white space stays whole."""
     pieces, start = [], 0
     while len(text) - start > piece_chars and (end := _CUT.search(text, start + piece_chars - 1)):
         pieces.append(text[start : end.end()])
@@ -83,7 +91,7 @@ def cut(text: str, piece_chars: int = PIECE_CHARS) -> list[str]:
 
 
 class ByteBpe:
-    """Encodes and decodes with one model; made once in each Python worker."""
+    """Encodes and decodes with one model; made once in each task."""
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
@@ -95,42 +103,62 @@ class ByteBpe:
         self.tokens = [b""] * (max(vocab.values(), default=-1) + 1)
         for token, i in vocab.items():
             self.tokens[i] = bytes(codes[c] for c in token)
-
-    def encode(self, texts: list[str], offsets: bool = False) -> Iterator[tuple[list[int], list[tuple[int, int]] | None]]:
-        """The ids of each text and, if asked for, the start and end of each id's characters.
-
-        A character split over several ids is in the offsets of each of them.
+        self.lengths = np.array([len(t) for t in self.tokens])
+        self.ids: dict[str, bytes] = {}  # a word's ids, and its spans, as int32
+        self.spans: dict[str, bytes] = {}
+
+    def _joined(self, words: list[str]) -> None:
+        """Ids of words that start with a space and hold no other white space, encoded as one text and parted by their bytes."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<i4")
+        cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) for w in words])) + 1) * 4
+        flat = ids.tobytes()
+        self.ids.update(zip(words, [flat[a:e] for a, e in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)], strict=True))
+
+    def _learn(self, words: list[list[str]], offsets: bool) -> list[str]:
+        """Encode the words that aren't known yet; gives those too long to remember."""
+        known = self.spans if offsets else self.ids
+        if len(known) > CACHE_WORDS:
+            self.ids.clear()
+            self.spans.clear()
+        new = list(set(chain.from_iterable(words)).difference(known))
+        if offsets:
+            for word, x in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+                self.ids[word], self.spans[word] = np.array(x.ids, "<i4").tobytes(), np.array(x.offsets, "<i4").tobytes()
+        else:
+            inner = list(filter(_INNER.fullmatch, new))
+            for a in range(0, len(inner), JOINED_WORDS):
+                self._joined(inner[a : a + JOINED_WORDS])
+            alone = [w for w in new if w not in self.ids]
+            for word, x in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+                self.ids[word] = np.array(x.ids, "<i4").tobytes()
+        return [w for w in new if len(w) > CACHE_CHARS]
+
+    def encode(self, texts: list[str], offsets: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """The ids of each text (int32) and, if asked for, the start and end of each id's characters (rows of two).
+
+        A character split over several ids is in the offsets of each of them. Pass texts of a bounded size together.
         """
-        run = self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast
-        waiting: list[tuple[int, str]] = []  # text number, piece
-
-        def done() -> Iterator[tuple[int, int, object]]:
-            for (k, piece), x in zip(waiting, run([p for _, p in waiting], add_special_tokens=False), strict=True):
-                yield k, len(piece), x
-            waiting.clear()
-
-        def encoded() -> Iterator[tuple[int, int, object]]:
-            size = 0
-            for k, text in enumerate(texts):
-                for piece in cut(text):
-                    waiting.append((k, piece))
-                    size += len(piece)
-                    if size >= BATCH_CHARS:
-                        yield from done()
-                        size = 0
-            yield from done()
-
-        at, ids, spans, start = 0, [], [], 0
-        for k, length, x in encoded():
-            while at < k:
-                yield ids, spans if offsets else None
-                at, ids, spans, start = at + 1, [], [], 0
-            ids += x.ids
-            if offsets:
-                spans += [(a + start, b + start) for a, b in x.offsets]
-            start += length
-        if texts:
-            yield ids, spans if offsets else None
+        if any(len(t) > PIECE_CHARS for t in texts):
+            for t in texts:
+                pieces = cut(t)
+                found = [next(self.encode([p], offsets)) for p in pieces]
+                starts = np.cumsum([0, *map(len, pieces)])
+                yield np.concatenate([x for x, _ in found]), np.concatenate([y + np.int32(a) for (_, y), a in zip(found, starts[:-1], strict=True)]) if offsets else None
+            return
+        words = [_WORD.findall(t) for t in texts]
+        long = self._learn(words, offsets)
+        for own in words:
+            ids = np.frombuffer(b"".join(map(self.ids.__getitem__, own)), "<i4")
+            if not offsets:
+                yield ids, None
+                continue
+            found = [self.spans[w] for w in own]
+            spans = np.frombuffer(b"".join(found), "<i4").reshape(-1, 2)
+            starts = np.cumsum([0, *map(len, own)])[:-1]
+            yield ids, spans + np.repeat(starts, [len(x) // 8 for x in found])[:, None].astype("<i4")
+        for word in long:
+            self.ids.pop(word, None)
+            self.spans.pop(word, None)
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         tokens = self.tokens
@@ -169,27 +197,15 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, offsets:
                 found = list(bpe.encode(part.column(own).to_pylist(), offsets))
                 columns = [part.column(c) for c in keep] + [pa.array([x for x, _ in found], ints)]
                 if offsets:
-                    columns += [pa.array([[s[i] for s in spans] for _, spans in found], ints) for i in (0, 1)]
+                    columns += [pa.array([spans[:, i] for _, spans in found], ints) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *new])
 
     schema = read.select(*keep).schema
     for name in new:
-        schema = schema.add(name, "array<int>")
+        schema = schema.add(name, T.ArrayType(T.IntegerType()))
     return read.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text: str, chars: int = 4 * BATCH_CHARS) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about so many bytes of text, so that what is made from them stays small."""
-    lengths, start, size = pc.binary_length(batch.column(text)).to_pylist(), 0, 0
-    for i, n in enumerate(lengths):
-        size += n
-        if size >= chars:
-            yield batch.slice(start, i + 1 - start)
-            start, size = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None, as_bytes: bool = False) -> DataFrame:
     """df with `decoded`: the text (or bytes) of its ids; null ids give the empty one. Ids outside the vocabulary are an error."""
     model = df.sparkSession.sparkContext.broadcast(model_json(path or public_tokenizers.path(RANKS)))
@@ -216,10 +232,11 @@ def digests(df: DataFrame, text: str = "text", path: str | None = None, keep: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(model.value)
+        shown = [str(i) for i in range(len(bpe.tokens))]
         digest = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             for part in slices(batch, own):
-                rows = [(len(ids), digest(" ".join(map(str, ids)).encode()), digest(bpe.decode_bytes(ids))) for ids, _ in bpe.encode(part.column(own).to_pylist())]
+                rows = [(len(ids), digest(" ".join([shown[i] for i in ids]).encode()), digest(bpe.decode_bytes(ids))) for ids in (x.tolist() for x, _ in bpe.encode(part.column(own).to_pylist()))]
                 n, a, b = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=[*keep, *new])
 
