@@ -2,16 +2,22 @@
 
 from .bpe import op1_byte_bpe
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .licenses import op4_license_scan
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import op2_mix_sources
+from .packing import op9_pack_tokens
 from .sharding import op7_shards
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_line_dedup": op5_line_dedup,
     "op7_shards": op7_shards,
+    "op9_pack_tokens": op9_pack_tokens,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
