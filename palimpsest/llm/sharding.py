@@ -9,6 +9,7 @@ The driver gets counts a shard and a bucket only (at most SHARDS * BUCKETS numbe
 
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,11 @@ def _draw(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def _numbers(df: DataFrame, pairs: list[tuple], schema: str) -> DataFrame:
-    return F.broadcast(df.sparkSession.createDataFrame(pairs, schema))
+def _numbers(df: DataFrame, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small table to broadcast, as a local relation: integers in all columns but the last, whose type follows its values."""
+    last = pa.float64() if any(isinstance(r[-1], float) for r in rows) else pa.int64()
+    kinds = [*[pa.int64()] * (len(names) - 1), last]
+    return F.broadcast(df.sparkSession.createDataFrame(pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)))
 
 
 def propagate(linked: DataFrame, loads: dict[int, int], capacity: float, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -53,7 +57,7 @@ def propagate(linked: DataFrame, loads: dict[int, int], capacity: float, shards:
         if not any(p for _, p in odds):
             return linked
         unit = F.when(F.col("hub_size") > capacity / SPLIT, F.col("row")).otherwise(F.lit(-1))
-        moved = joined.join(_numbers(linked, odds, "want int, odds double"), "want").withColumn("shard", F.when((F.col("want") != F.col("shard")) & (_draw(F.lit(k), "hub", unit) < F.col("odds")), F.col("want")).otherwise(F.col("shard")))
+        moved = joined.join(_numbers(linked, ["want", "odds"], odds), "want").withColumn("shard", F.when((F.col("want") != F.col("shard")) & (_draw(F.lit(k), "hub", unit) < F.col("odds")), F.col("want")).otherwise(F.col("shard")))
         linked = common.materialize(moved.select(*linked.columns))
         loads = {r.shard: r.w for r in linked.groupBy("shard").agg(F.sum("size").alias("w")).collect()}
     return linked
@@ -70,9 +74,8 @@ def _running(rows: DataFrame, by: list[str], value: Column, out: str) -> DataFra
     if not found:
         return rows.withColumn(out, F.lit(0).cast("long"))
     inner = Window.partitionBy(*by, "bucket").orderBy("h", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
-    schema = ", ".join([*[f"{c} int" for c in by], "bucket long", "before long"])
     summed = rows.withColumn(out, F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return summed.join(_numbers(rows, found, schema), [*by, "bucket"]).withColumn(out, F.col(out) + F.col("before")).drop("before")
+    return summed.join(_numbers(rows, [*by, "bucket", "before"], found), [*by, "bucket"]).withColumn(out, F.col(out) + F.col("before")).drop("before")
 
 
 def shard_by_bytes(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -97,7 +100,7 @@ def shard_by_bytes(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     loads = sizes(placed)
     # A shard over its capacity gives back documents, to be laid out with those that link nothing.
     back = [(s, max(0.0, (w - capacity) / w)) for s, w in loads.items()]
-    placed = placed.join(_numbers(table, back or [(0, 0.0)], "shard int, back double"), "shard").withColumn("stays", _draw(F.lit(-1), "row") >= F.col("back")).select("row", "shard", "stays")
+    placed = placed.join(_numbers(table, ["shard", "back"], back or [(0, 0.0)]), "shard").withColumn("stays", _draw(F.lit(-1), "row") >= F.col("back")).select("row", "shard", "stays")
     table = common.materialize(table.join(placed, "row", "left").withColumn("shard", F.when(F.col("stays"), F.col("shard"))).drop("stays"))
     loads = sizes(table.filter("shard IS NOT NULL"))
     free = table.filter("shard IS NULL").drop("shard")
@@ -108,7 +111,7 @@ def shard_by_bytes(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     place = sum(((F.col("at") + F.col("size") / 2) >= e).cast("int") for e in ends) if ends else F.lit(0)
     laid = along.withColumn("shard", place.cast("int")).drop("at")
     whole = common.materialize(table.filter("shard IS NOT NULL").unionByName(laid))
-    return _running(whole, ["shard"], F.lit(1).cast("long"), "slot").select(*names, "shard", "slot")
+    return _running(whole, ["shard"], F.lit(1).cast("long"), "slot").select(*names, F.col("shard").cast("int").alias("shard"), "slot")
 
 
 def op7_shards(spark, sf_dir: str) -> DataFrame:
