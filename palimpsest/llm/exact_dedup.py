@@ -59,23 +59,26 @@ def _counted(n_cells: int):
     return count
 
 
-def _merged(rows: pd.DataFrame) -> pd.DataFrame:
-    seen, again = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
-    for cells, more in zip(rows["cells"], rows["more"], strict=True):
-        at = np.frombuffer(cells, "<u2")
-        again[at] |= seen[at] | np.unpackbits(np.frombuffer(more, np.uint8), count=len(at)).astype(bool)
-        seen[at] = True
-    return pd.DataFrame({"segment": rows["segment"].iloc[:1], "bits": [np.packbits(again).tobytes()]})
+def _merged(hits: int):
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        seen, again = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
+        for cells, more in zip(rows["cells"], rows["more"], strict=True):
+            at = np.frombuffer(cells, "<u2")
+            again[at] |= seen[at] | np.unpackbits(np.frombuffer(more, np.uint8), count=len(at)).astype(bool)
+            seen[at] = True
+        return pd.DataFrame({"segment": rows["segment"].iloc[:1], "bits": [np.packbits(again if hits > 1 else seen).tobytes()]})
 
+    return merge
 
-def repeat_filter(hashes: DataFrame, rows: int, max_cells: int = MAX_CELLS) -> np.ndarray:
-    """Pass 1 over one binary column of SHA-256: the packed bits of the cells that were hit at least twice."""
+
+def hit_filter(hashes: DataFrame, rows: int, hits: int = 2, max_cells: int = MAX_CELLS) -> np.ndarray:
+    """Pass 1 over one binary column of SHA-256: the packed bits of the cells that were hit at least `hits` (1 or 2) times."""
     n_cells = SEGMENT
     while n_cells < min(rows * CELLS_PER_ROW, max_cells):
         n_cells *= 2
     bits = np.zeros(n_cells // 8, np.uint8)
     counted = hashes.mapInArrow(_counted(n_cells), "segment int, cells binary, more binary")
-    for row in counted.groupBy("segment").applyInPandas(_merged, "segment int, bits binary").toLocalIterator():
+    for row in counted.groupBy("segment").applyInPandas(_merged(hits), "segment int, bits binary").toLocalIterator():
         bits[row.segment * SEGMENT // 8 : (row.segment + 1) * SEGMENT // 8] = np.frombuffer(row.bits, np.uint8)
     return bits
 
@@ -90,6 +93,13 @@ def _probe(bits):
     return repeated
 
 
+def possibly_in(df: DataFrame, sha, keys: DataFrame, name: str) -> DataFrame:
+    """df with `name`: false only if its hash (a SHA-256 expression) is none of those in the only column of keys."""
+    bits = hit_filter(keys, keys.count(), hits=1)
+    own = common.free_name(df, "own_sha")
+    return df.withColumn(own, sha).withColumn(name, _probe(df.sparkSession.sparkContext.broadcast(bits))(own)).drop(own)
+
+
 def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", hashes: DataFrame | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
     """df with keep_id, group_size, kept and sha (binary): of rows with equal text_hash(), the smallest doc_id stays.
 
@@ -103,7 +113,7 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", hashe
     if hashes is None:
         table = table.withColumn("sha", text_hash(text))
         hashes = common.materialize(table.select("sha"))
-    bits = repeat_filter(hashes.select("sha"), hashes.count(), max_cells)
+    bits = hit_filter(hashes.select("sha"), hashes.count(), max_cells=max_cells)
     row, own, first = (common.free_name(df, x) for x in ("row", "own", "first"))
     table = table.withColumn(row, _probe(spark.sparkContext.broadcast(bits))("sha"))
     alone = table.filter(~F.col(row)).select(*[c for c in table.columns if c != row], F.col(doc_id).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))

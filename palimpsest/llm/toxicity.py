@@ -310,6 +310,13 @@ def tag(df: DataFrame, model: Crf, text: str = "text", keep: list[str] | None =
     return read.mapInArrow(run, read.select(*keep).schema.add("score", "double").add("predicted", "integer").add("spans", _SPANS))
 
 
+def keep_clean(df: DataFrame, model: Crf, text: str = "text") -> DataFrame:
+    """The rows of df, with its columns, whose text isn't predicted to be toxic."""
+    clash = {c: common.free_name(df, "own_" + c) for c in df.columns if c.lower() in ("score", "predicted", "spans")}
+    back = {v: k for k, v in clash.items()}
+    return tag(df.withColumnsRenamed(clash), model, clash.get(text, text)).filter("predicted = 0").drop("score", "predicted", "spans").withColumnsRenamed(back)
+
+
 def labels(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
