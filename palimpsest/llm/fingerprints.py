@@ -5,8 +5,8 @@ several), and each distinct paragraph gets a 64-bit digest. A sketch has cells w
 the XOR of their check hashes; each digest is in three cells. Sketches of two versions subtract cell by cell: what is in
 both cancels out, and peeling (a cell that holds one digest gives it, and it leaves its other cells) recovers the digests
 in one version only. The fingerprint is the sketch of CELLS cells. If peeling the difference of two fingerprints fails,
-larger sketches follow: as many segments, by digest, as keep some KEYS digests in each, each of CELLS cells, and for a
-segment that fails, twice and four times as many; should that fail too, its digests are compared one by one.
+larger sketches follow: as many segments, by digest, as keep some KEYS digests in each, each a single cell at first; for
+one that fails, SEGMENT_CELLS cells, then twice, four and eight times as many; should that fail too, its digests are compared one by one.
 
 All of it is built-in functions within a row; the next document's text comes by one shuffle of ranges of doc_id.
 """
@@ -18,12 +18,13 @@ from . import common
 
 CELLS = 24
 HEAD = 240
-KEYS = 6
+KEYS = 2
+SEGMENT_CELLS = 12
 #: Documents in a range of doc_ids.
 RANGE_ROWS = 500
 MAX_RANGES = 10_000
 _FINE = r"[^\n]{16,40}?(?=[ .!?,\n])[.!?,]*|[^\n]{1,40}|\n"
-_COARSE = r"[^\n]{60,160}?[.!?]+(?= |\n|$)|[^\n]{1,160}|\n"
+_COARSE = r"[^\n]{120,320}?[.!?]+(?= |\n|$)|[^\n]{1,320}|\n"
 _NO_LONGS = "array<bigint>"
 
 
@@ -52,6 +53,15 @@ def _cell(n: Column, k: Column, c: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), k.alias("k"), c.alias("c"))
 
 
+def _empty(x: Column) -> Column:
+    return (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)
+
+
+def _pure(x: Column) -> Column:
+    """Whether a cell holds one digest."""
+    return (F.abs(x["n"]) == 1) & (F.xxhash64(x["k"], F.lit(-1)) == x["c"])
+
+
 def sketch(plus: Column, minus: Column | None = None, cells: int = CELLS, turn: int = 0) -> Column:
     """The cells (n, k, c) of the digests in plus, less those in minus."""
     keys = F.transform(plus, lambda d: _keyed(d, F.lit(1), cells // 3, turn))
@@ -69,7 +79,6 @@ def subtract(a: Column, b: Column) -> Column:
 
 def peel(cells: Column, steps: Column, n_cells: int = CELLS, turn: int = 0) -> Column:
     """Struct of plus and minus: the digests recovered from cells; null if some can't be in so many steps."""
-    pure = lambda x: (F.abs(x["n"]) == 1) & (F.xxhash64(x["k"], F.lit(-1)) == x["c"])
     none = F.array().cast(_NO_LONGS)
 
     def state(cs: Column, plus: Column, minus: Column, going: Column) -> Column:
@@ -85,11 +94,10 @@ def peel(cells: Column, steps: Column, n_cells: int = CELLS, turn: int = 0) -> C
 
             return F.when(found.isNull(), state(s["cells"], s["plus"], s["minus"], F.lit(False))).otherwise(let(_keyed(found["k"], found["n"], n_cells // 3, turn), without))
 
-        return F.when(s["going"], let(F.get(F.filter(s["cells"], pure), 0), take)).otherwise(s)
+        return F.when(s["going"], let(F.get(F.filter(s["cells"], _pure), 0), take)).otherwise(s)
 
     end = F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), state(cells, none, none, F.lit(True)), step)
-    empty = lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)
-    return let(end, lambda s: F.when(F.forall(s["cells"], empty), F.struct(s["plus"].alias("plus"), s["minus"].alias("minus"))))
+    return let(end, lambda s: F.when(F.forall(s["cells"], _empty), F.struct(s["plus"].alias("plus"), s["minus"].alias("minus"))))
 
 
 def _segment(x: Column, y: Column) -> Column:
@@ -97,9 +105,15 @@ def _segment(x: Column, y: Column) -> Column:
     def tried(cells: int, turn: int) -> Column:
         return let(sketch(x, y, cells, turn), lambda cs: peel(cs, F.size(x) + F.size(y), cells, turn))
 
-    tries = [tried(CELLS * k, turn) for turn, k in ((1, 1), (2, 2), (3, 4))]
+    def alone(cell: Column) -> Column:
+        one, none = F.array(cell["k"]), F.array().cast(_NO_LONGS)
+        plus, minus = F.when(cell["n"] == 1, one).otherwise(none), F.when(cell["n"] == -1, one).otherwise(none)
+        return F.when(_empty(cell) | _pure(cell), F.struct(plus.alias("plus"), minus.alias("minus"))).otherwise(F.coalesce(*tries, last))
+
+    tries = [tried(SEGMENT_CELLS * k, turn) for turn, k in ((1, 1), (2, 2), (3, 4), (4, 8))]
     last = F.struct(F.array_except(x, y).alias("plus"), F.array_except(y, x).alias("minus"))
-    return F.coalesce(*tries, last)
+    add = lambda sign: lambda cell, d: _cell(cell["n"] + sign, cell["k"].bitwiseXOR(d), cell["c"].bitwiseXOR(F.xxhash64(d, F.lit(-1))))
+    return let(F.aggregate(y, F.aggregate(x, _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long")), add(1)), add(-1)), alone)
 
 
 def differences(a: Column, b: Column, base: Column | None = None) -> Column:
@@ -107,13 +121,17 @@ def differences(a: Column, b: Column, base: Column | None = None) -> Column:
 
     base: the difference of their fingerprints, if there is one; it is tried first.
     """
-    side = F.greatest(F.ceil(F.sqrt((F.size(a) + F.size(b)) / KEYS)), F.lit(1)).cast("long")
-    h = lambda d: F.xxhash64(d, F.lit(77))
-    one = lambda values, g: F.filter(values, lambda d: F.pmod(h(d), side) == g)
-    two = lambda values, g: F.filter(values, lambda d: F.pmod(F.shiftright(h(d), 24), side) == g)
-    turns = F.sequence(F.lit(0).cast("long"), side - 1)
     pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    outer = F.transform(turns, lambda g: let(pair(one(a, g), one(b, g)), lambda p: F.transform(turns, lambda k: let(pair(two(p["x"], k), two(p["y"], k)), lambda q: _segment(q["x"], q["y"])))))
+    tagged = lambda values, side: F.transform(values, lambda d: let(F.xxhash64(d, F.lit(77)), lambda h: F.struct(d.alias("d"), F.pmod(h, side).alias("g"), F.pmod(F.shiftright(h, 24), side).alias("k"))))
+    of = lambda values, name, g: F.filter(values, lambda x: x[name] == g)
+    bare = lambda values: F.transform(values, lambda x: x["d"])
+
+    def segments(side: Column) -> Column:
+        turns = F.sequence(F.lit(0).cast("long"), side - 1)
+        inner = lambda p: F.transform(turns, lambda k: let(pair(bare(of(p["x"], "k", k)), bare(of(p["y"], "k", k))), lambda q: _segment(q["x"], q["y"])))
+        return let(pair(tagged(a, side), tagged(b, side)), lambda t: F.transform(turns, lambda g: let(pair(of(t["x"], "g", g), of(t["y"], "g", g)), inner)))
+
+    outer = let(F.greatest(F.ceil(F.sqrt((F.size(a) + F.size(b)) / KEYS)), F.lit(1)).cast("long"), segments)
     all_ = let(F.flatten(outer), lambda parts: F.struct(F.flatten(F.transform(parts, lambda s: s["plus"])).alias("plus"), F.flatten(F.transform(parts, lambda s: s["minus"])).alias("minus")))
     return F.coalesce(peel(base, F.lit(CELLS)), all_) if base is not None else all_
 
