@@ -2,8 +2,8 @@
 
 The units compared are the lines of a text, its paragraphs and the whole text: lower case, with letters and digits as
 words. A unit of n bigrams can reach a coefficient of t only with templates of n * t / (2 - t) to n * (2 - t) / t bigrams;
-others are never compared, and units outside all templates' bounds aren't even split. Bigrams count as often as they are
-there. All of it is built-in functions within each row: no shuffle, and memory follows one row.
+others are never compared, and units outside all templates' bounds aren't even split. Nor are units compared too few of
+whose bigrams any template has. Bigrams are hashed and count as often as they are there. All of it is built-in functions within each row: no shuffle, and memory follows one row.
 """
 
 import re
@@ -60,10 +60,6 @@ def _normalised(text: str) -> Column:
     return F.regexp_replace(F.lower(common.text_or_empty(text)), r"[^\p{L}\p{N}\n]+", " ")
 
 
-def _array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """df with matches: array of (license, score, unit, line), best first; `line` counts from 1 and is null for longer units.
 
@@ -71,9 +67,12 @@ def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, threshold: floa
     null or empty text has no matches, nor has a unit of a single word. A column of df called matches is replaced.
     """
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    known = [(name, [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]) for name, t in templates if len(w := words_of(t)) > 1]
+    known = [(name, list(zip(w, w[1:], strict=False))) for name, t in templates if len(w := words_of(t)) > 1]
     fits = lambda n: reduce(lambda a, b: a | b, [n.between(F.lit(low * k), F.lit(high * k)) for k in sorted({len(b) for _, b in known})])
-    given = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("n"), _array(b).alias("b"), _array(sorted(set(b))).alias("kinds")) for name, b in known])
+    hashed = df.sparkSession.range(1).select(*[F.array(*[F.xxhash64(F.lit(x), F.lit(y)) for x, y in b]) for _, b in known]).first()
+    longs = lambda values: F.array(*[F.lit(v) for v in values])
+    given = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("n"), longs(b).alias("b"), longs(sorted(set(b))).alias("kinds")) for (name, _), b in zip(known, hashed, strict=True)])
+    every = sorted({v for b in hashed for v in b})
 
     flat = lambda x: F.trim(F.regexp_replace(x, "[ \n]+", " "))
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))  # noqa: E731  one less than words
@@ -83,13 +82,17 @@ def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, threshold: floa
     parts = F.split(F.col(own), "\n *\n[ \n]*")
     paragraphs = F.when((F.size(parts) > 1), F.transform(parts, lambda x: longer("paragraph", x))).otherwise(F.array().cast("array<struct<unit:string,line:int,text:string>>"))
     whole = F.when(F.contains(F.col(own), F.lit("\n")), F.array(longer("text", F.col(own)))).otherwise(F.array().cast("array<struct<unit:string,line:int,text:string>>"))
-    units = F.filter(F.concat(lines, paragraphs, whole), lambda u: fits(spaces(u["text"])))
+    units = F.filter(F.concat(lines, paragraphs, whole), lambda u: F.exists(F.array(spaces(u["text"])), fits))
 
     def bigrams(u: Column) -> Column:
         w = F.split(u["text"], " ")
-        pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+        pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.xxhash64(a, b))
         return F.struct(u["unit"].alias("unit"), u["line"].alias("line"), pairs.alias("b"))
 
+    def may_reach(x: Column) -> Column:
+        """A unit of n bigrams shares threshold / 2 * (n + low * n) of them with a template at least."""
+        return F.size(F.filter(x["b"], lambda g: g.isin(every))) >= threshold / 2 * (1 + low) * F.size(x["b"])
+
     def dice(t: Column, x: Column) -> Column:
         times = lambda values, g: F.size(F.filter(values, lambda y: y == g))
         shared = F.aggregate(F.array_intersect(t["kinds"], x["b"]), F.lit(0), lambda acc, g: acc + F.least(times(x["b"], g), times(t["b"], g)))
@@ -103,7 +106,7 @@ def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, threshold: floa
         top = F.get(F.array_sort(scored, first), 0)
         return F.struct(top["license"].alias("license"), top["score"].alias("score"), x["unit"].alias("unit"), x["line"].alias("line"))
 
-    found = F.filter(F.transform(F.transform(units, bigrams), best), lambda m: m["score"] >= threshold)
+    found = F.filter(F.transform(F.filter(F.transform(units, bigrams), may_reach), best), lambda m: m["score"] >= threshold)
     order = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["line"].isNotNull() & b["line"].isNotNull(), a["line"] - b["line"]).when(a["line"].isNotNull(), -1).when(b["line"].isNotNull(), 1).otherwise(0)
     return df.drop("matches").withColumn(own, _normalised(text)).withColumn("matches", F.array_sort(found, order)).drop(own)
 
