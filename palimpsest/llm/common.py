@@ -52,9 +52,22 @@ def clear_tables() -> None:
 atexit.register(clear_tables)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it: cuts lineage, and outlives lost executors."""
+def compact(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """df dealt to no more partitions than its size needs (64 MB each), but as many as there are cores: fewer tiny files.
+
+    For narrow rows: it shuffles them, while the joins and sorts before keep their own partitions.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, rows * row_bytes // (64 << 20) + 1))
+
+
+def materialize(df: DataFrame, rows: int | None = None, row_bytes: int = 64) -> DataFrame:
+    """Write df as a table in the shared folder and read it: cuts lineage, and outlives lost executors.
+
+    rows: a bound of df's rows, if one is known; the table is then written compact.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = compact(df, rows, row_bytes)
     path = f"{shared_dir(spark)}/palimpsest-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))

@@ -23,6 +23,8 @@ SEGMENT_CELLS = 12
 #: Documents in a range of doc_ids.
 RANGE_ROWS = 500
 MAX_RANGES = 10_000
+#: Ranges are put together to tasks of about so many rows.
+TASK_ROWS = 4000
 _FINE = r"[^\n]{16,40}?(?=[ .!?,\n])[.!?,]*|[^\n]{1,40}|\n"
 _COARSE = r"[^\n]{120,320}?[.!?]+(?= |\n|$)|[^\n]{1,320}|\n"
 _NO_LONGS = "array<bigint>"
@@ -169,7 +171,8 @@ def with_next(df: DataFrame, doc_id: str, text: str, out: str, range_rows: int =
     spots = F.filter(F.array(F.struct(place.cast("int").alias("at"), F.lit(0).alias("copy")), F.struct(before.cast("int").alias("at"), F.lit(1).alias("copy"))), lambda s: s["at"].isNotNull())
     dealt = df.withColumn(own[0], F.explode(spots)).withColumn(own[1], F.col(f"{own[0]}.copy")).withColumn(own[0], F.col(f"{own[0]}.at"))
     after = Window.partitionBy(own[0]).orderBy(own[1], F.col(doc_id).asc_nulls_first(), F.col(text).asc_nulls_first())
-    return dealt.withColumn(out, F.lead(F.coalesce(text, F.lit(""))).over(after)).filter(F.col(own[1]) == 0).drop(*own)
+    dealt = dealt.withColumn(out, F.lead(F.coalesce(text, F.lit(""))).over(after)).filter(F.col(own[1]) == 0).drop(*own)
+    return dealt.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, n // TASK_ROWS))
 
 
 def _below(x: Column, bounds: list) -> Column:
