@@ -529,6 +529,55 @@ def bleu_alignment(spark, sf_dir):
     return rows.select("page_id", "seq", "i", F.col("source.sentence").alias("source"), F.col("target.sentence").alias("target"), F.round("match_score", 6).alias("match_score"))
 
 
+@query()
+def wikitext_extract(spark, sf_dir):
+    from palimpsest.functions import wikitext
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("== "), "role", F.lit(" ==\n{{Intro|"), "role", F.lit("}} [[a|link]]s "), "text", F.lit("\n* ''item''")).alias("text"), "role")
+    rows = rows.withColumn("title", F.col("role")).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    found = wikitext.extract(rows, ({"Template:Intro": "{{ucfirst:{{{1}}}}} says:"}, {}))
+    return found.select("conv_id", "turn", F.array_join("lines", "\n").alias("text"))
+
+
+def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits made of documents, each citing its page and the next one, joined with the pages' texts."""
+    from palimpsest.plans.ablation import build_pairs
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    n = pages.count()
+    docs = table(spark, sf_dir, "documents").filter("length(text) > 100")
+    cited = lambda shift, name: pages.select(((F.col("page_id") + shift) % n).alias("own_page"), F.array("url").alias(name))
+    edits_ = docs.select(F.col("doc_id").cast("string").alias("rev_id"), (F.col("doc_id") % n).alias("own_page"), F.substring("text", 1, 60).alias("prefix"), F.substring("text", 61, 200).alias("edited"), F.reverse(F.substring("text", 61, 100)).alias("original"))
+    return build_pairs(edits_.join(cited(0, "urls_edit"), "own_page").join(cited(1, "urls_orig"), "own_page"), pages)
+
+
+@query()
+def ablation_pairs(spark, sf_dir):
+    return _ablation(spark, sf_dir)
+
+
+@query()
+def ablation_end_to_end(spark, sf_dir):
+    from palimpsest.plans.ablation import evaluate
+
+    return evaluate(grounding.as_dataset(_ablation(spark, sf_dir)))
+
+
+@query()
+def document_languages(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("length(text) > 1000 AND lang IN ('de', 'en', 'es', 'fr')").select("doc_id", text.language(F.col("text")).alias("lang"))
+
+
+@query("SELECT c.conv_id, c.turn, coalesce((SELECT max(p.turn) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn AND p.role = 'user'), -1) AS before, coalesce((SELECT min(p.turn) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn > c.turn AND p.role = 'user'), -1) AS after FROM conversations c")
+def conserved_neighbours(spark, sf_dir):
+    from pyspark.sql import Window
+
+    mark = F.when(F.col("role") == "user", F.col("turn"))
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.last(mark, True).over(before), F.lit(-1)).alias("before"), F.coalesce(F.first(mark, True).over(after), F.lit(-1)).alias("after"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: revision pairs of fitting length, counted by author."""
     return pair_length_filter(spark, sf_dir)
