@@ -165,7 +165,7 @@ def with_next(df: DataFrame, doc_id: str, text: str, out: str, range_rows: int =
         found = ids.agg(F.percentile_approx("id", F.array(*[F.lit(x) for x in wanted]), 100 * ranges)).first()[0] if wanted else []
         bounds = sorted({lowest, *found})
     given = F.array(*[F.lit(b) for b in bounds]).cast(_NO_LONGS)
-    place = F.coalesce(_below(F.col(doc_id).cast("long"), bounds), F.lit(0))
+    place = F.when(F.col(doc_id).isNull(), F.lit(0)).otherwise(_below(F.col(doc_id).cast("long"), bounds))
     opens = F.col(doc_id).isNull() if nulls else F.lit(False)
     before = F.when(F.array_contains(given, F.col(doc_id).cast("long")) if bounds else F.lit(False), F.when(place > 0, place - 1).otherwise(F.lit(None) if nulls else F.lit(max(0, len(bounds) - 1)))).otherwise(F.when(opens, F.lit(max(0, len(bounds) - 1))))
     spots = F.filter(F.array(F.struct(place.cast("int").alias("at"), F.lit(0).alias("copy")), F.struct(before.cast("int").alias("at"), F.lit(1).alias("copy"))), lambda s: s["at"].isNotNull())
