@@ -1,6 +1,8 @@
 """What several operators share: tables in the shared folder, and joins that a hot key can't overload."""
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +18,9 @@ SPACE = r"\x20\x09-\x0D"
 HOT_PARTS = 1000
 HOT_ROWS = 2000
 
+ARROW_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -83,15 +88,39 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], rows: str, to
 
     Keys with over 1/HOT_PARTS of the `total` left rows are joined by broadcast (at most HOT_PARTS rows, so the
     broadcast is bounded); all others by Spark's own choice, each task then getting a small share of the rows.
-    Both sides are read twice: pass tables, not long plans.
+    Both sides are read twice if there are such keys: pass tables, not long plans.
     """
-    hot = F.col(rows) > max(total // HOT_PARTS, HOT_ROWS)
+    most = max(total // HOT_PARTS, HOT_ROWS)
+    hot = F.col(rows) > most
+    if total <= most or not right.filter(hot).limit(1).count():
+        return left.join(right, on)
     few = F.broadcast(right.filter(hot))
     warm = left.join(few, on)
     cold = left.join(few.select(*on), on, "left_anti").join(right.filter(~hot), on)
     return warm.unionByName(cold)
 
 
+def to_python(df: DataFrame) -> DataFrame:
+    """df, about to go to Python with whole texts: the session's Arrow batches are cut to ARROW_ROWS rows, if they are larger.
+
+    At the default of 10,000 rows, a batch of texts takes tens of megabytes, held twice, in each task.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_ARROW_ROWS)) > ARROW_ROWS or int(conf.get(_ARROW_ROWS)) <= 0:
+        conf.set(_ARROW_ROWS, str(ARROW_ROWS))
+    return df
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system: idle workers stay for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it until no column of df has it (case aside)."""
     taken = {c.lower() for c in df.columns}

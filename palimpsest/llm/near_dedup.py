@@ -6,7 +6,7 @@
    sets (with unit weights, the plain Jaccard similarity). A shingle's process ends as soon as its arrivals come after
    the last register's, so long texts cost about two arrivals a shingle.
 3. Banding: texts that agree on all registers of a band share a bucket. In each bucket, every text is paired with two
-   leaders (least and greatest hash), not with every other.
+   leaders, not with every other.
 4. Pairs whose signatures allow the threshold are verified on whole texts.
 5. A text that isn't linked to its bucket's leader may still be to another member. So those that aren't in the leader's
    class yet are compared with the others of the bucket: a text that is far from the leader can't be linked to one that
@@ -17,6 +17,7 @@
 Hot buckets and leaders are split or broadcast within bounds; nothing of the size of the corpus goes to the driver.
 """
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import common, exact_dedup
-from .common import slices
+from . import common
+from .common import release, slices
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -34,11 +36,17 @@ BANDS, ROWS = 24, 4
 #: Estimated similarities from which a pair is verified, and from which it is too near to be ruled out by the metric;
 #: four and more standard errors below 0.8 and 0.6.
 VERIFY, NEAR = 0.62, 0.40
-#: Far texts of a bucket up to this many are compared with each other; more are split by further bands first.
+#: Open texts of a bucket are compared with each other up to this many (and those near the leader with all of a larger
+#: bucket if they are few); more are split by a further band, and then compared in blocks.
 FAR_TEXTS = 32
-DEPTH = 3
+FEW_NEAR = 3
+DEPTH = 1
+#: Rows of a block that is compared with another.
+BLOCK = 2048
 #: Pairs of one leader in a task.
 LEADER_PAIRS = 1000
+#: Up to so many row numbers (8 bytes each, counted first) are broadcast.
+BROADCAST_UIDS = 100_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,35 +127,50 @@ def similarity(a: str, b: str, words: int = WORDS, weighting: str = "unit") -> f
     return float((1 / (x_before / xs[order].clip(1e-300) + y_after / ys[order].clip(1e-300)))[shared].sum())
 
 
-def normalised(text: str = "text"):
-    return F.trim(F.lower(F.regexp_replace(common.text_or_empty(text), f"[{common.SPACE}]+", " ")))
+_SPACES = re.compile("[ \\t-\\r]+")
+
+
+def words_of(text: str) -> str:
+    """Lower case, words parted by single spaces: what shingles are made of."""
+    return _SPACES.sub(" ", text.lower()).strip(" ")
+
+
+def text_key(text: str = "text"):
+    """MD5 (binary) of the text in lower case with single spaces."""
+    return F.unhex(F.md5(F.encode(F.trim(F.lower(F.regexp_replace(common.text_or_empty(text), f"[{common.SPACE}]+", " "))), "UTF-8")))
 
 
 def _sign(words: int, bands: int, rows: int, weighting: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                texts, n = batch.column("text").to_pylist(), batch.num_rows
+                given = batch.column("text").to_pylist()
+                texts = list(dict.fromkeys(given))  # copies side by side are signed once
+                number = {t: i for i, t in enumerate(texts)}
+                texts, n, take = [words_of(t) for t in texts], len(texts), np.array([number[t] for t in given])
                 h, of = shingles(texts, words)
                 if weighting == "unit":
                     made = probminhash(h, of, n, bands * rows)
                 else:
-                    made = probminhash(*counted(h, of)[:2], n, bands * rows, counted(h, of)[2])
+                    h, of, times = counted(h, of)
+                    made = probminhash(h, of, n, bands * rows, times)
                 keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (n, bands)).copy()
                 with np.errstate(over="ignore"):
                     for k in range(rows):
                         keys = _mix(keys * _GOLD + made[:, k::rows])
-                keys = keys.view(np.int64)
-                some = np.array([bool(t) for t in texts])
+                some = np.array([bool(t) for t in texts])[take]
+                keys, short = keys.view(np.int64)[take], (made & np.uint64(0xFFFF)).astype("<u2")[take]
+                ends = np.cumsum(np.r_[0, np.where(some, bands, 0)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("uid"), pa.array([r.tobytes() for r in (made & np.uint64(0xFFFF)).astype("<u2")], pa.binary()), pa.array([r if s else [] for r, s in zip(keys, some, strict=True)], pa.list_(pa.int64()))],
+                    [batch.column("uid"), pa.array([r.tobytes() for r in short], pa.binary()), pa.ListArray.from_arrays(ends, keys[some].ravel())],
                     names=["uid", "sig", "keys"],
                 )
+        release()
 
     return run
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype=float)
@@ -155,38 +178,52 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
-def _estimated(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """pairs (a, b) with est: the share of equal registers."""
-    spread = common.materialize(_salted(pairs))
-    left = spread.join(signatures.select(F.col("uid").alias("a"), F.col("sig").alias("sig_a")), "a")
-    right = _salts(spread).join(signatures.select(F.col("uid").alias("b"), F.col("sig").alias("sig_b")), "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    return common.materialize(left.join(right.drop("salts"), ["b", "salt"]).select("a", "b", _alike("sig_a", "sig_b").alias("est")))
+def _block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one block of rows with another (or of one with itself) whose estimate allows a link, one of them open."""
+    i, j = rows["at"].iloc[0]["i"], rows["at"].iloc[0]["j"]
+    x, y = (rows[rows["part"] == k].sort_values("uid") for k in (i, j))
+    a, b = (np.frombuffer(b"".join(r["sig"]), "<u2").reshape(len(r), -1) if len(r) else np.zeros((0, 1), "<u2") for r in (x, y))
+    ua, ub, oa, ob = x["uid"].to_numpy(), y["uid"].to_numpy(), x["open"].to_numpy(bool), y["open"].to_numpy(bool)
+    out = []
+    for k in range(len(a) if len(b) else 0):
+        est = (b == a[k]).mean(axis=1)
+        hits = np.flatnonzero((est >= VERIFY) & (ob | oa[k]) & ((ub > ua[k]) if i == j else (ub != ua[k])))
+        out += [(max(ua[k], ub[h]), min(ua[k], ub[h]), est[h]) for h in hits]
+    return pd.DataFrame(out, columns=["a", "b", "est"])
 
 
-def _salted(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) with salt and salts: the pairs of each b are dealt to so many parts of at most LEADER_PAIRS or so."""
-    counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    joined = common.join_counted(pairs, counts, ["b"], "n", pairs.count())
-    return joined.withColumn("salts", F.ceil(F.col("n") / LEADER_PAIRS).cast("int")).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("n")
+def _estimated(pairs: DataFrame, signatures: DataFrame, total: int) -> DataFrame:
+    """pairs (a, b) with est: the share of equal registers."""
+    left, right = _dealt(pairs, signatures, "sig", total)
+    return common.materialize(left.join(right, ["b", "salt"]).select("a", "b", _alike("sig_a", "sig_b").alias("est")), total)
 
 
-def _salts(spread: DataFrame) -> DataFrame:
-    return spread.groupBy("b").agg(F.max("salts").alias("salts"))
+def _dealt(pairs: DataFrame, rows: DataFrame, value: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b, salt) with value_a of a, and (b, salt, value_b), from rows (uid, value).
 
+    The pairs of one b are dealt to parts of at most LEADER_PAIRS or so, and b's row is repeated for each.
+    """
+    counts = common.materialize(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), total)
+    parts = F.ceil(F.col("n") / LEADER_PAIRS)
+    joined = common.join_counted(pairs, counts, ["b"], "n", total)
+    left = joined.withColumn("salt", F.pmod(F.xxhash64("a"), parts).cast("int")).drop("n").join(rows.select(F.col("uid").alias("a"), F.col(value).alias(f"{value}_a")), "a")
+    right = counts.select("b", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("salt")).join(rows.select(F.col("uid").alias("b"), F.col(value).alias(f"{value}_b")), "b")
+    return left, right
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, weighting: str, threshold: float) -> DataFrame:
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, weighting: str, total: int) -> DataFrame:
     """pairs (a, b) with sim, the exact similarity of their texts (uid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sims = [similarity(x, y, words, weighting) for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
+            for part in slices(batch, "text_a"):
+                sims = [similarity(words_of(x), words_of(y), words, weighting) for x, y in zip(part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
+        release()
 
-    spread = common.materialize(_salted(pairs))
-    left = spread.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
-    right = _salts(spread).join(texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    both = left.join(right.drop("salts"), ["b", "salt"]).select("a", "b", "text_a", "text_b")
-    return common.materialize(both.mapInArrow(run, "a binary, b binary, sim double"))
+    left, right = _dealt(pairs, texts, "text", total)
+    both = left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b")
+    return common.materialize(common.to_python(both).mapInArrow(run, "a long, b long, sim double"), total)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -195,174 +232,202 @@ def components(edges: DataFrame) -> DataFrame:
     Each round, a node takes the least label among its neighbours' and then its label's label; rounds end when no label
     changes (about the logarithm of the longest path). Each round is written to the shared folder.
     """
-    both = common.materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    n = edges.count()
+    both = common.materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), 2 * n)
     total = both.count()
-    labels = common.materialize(both.groupBy(F.col("b").alias("uid")).agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("root")).withColumn("root", F.least("uid", "root")))
+    labels = common.materialize(both.groupBy(F.col("b").alias("uid")).agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("root")).withColumn("root", F.least("uid", "root")), total)
     while True:
         seen = common.join_counted(both, labels.select(F.col("uid").alias("b"), "n", "root"), ["b"], "n", total)
         least = seen.groupBy(F.col("a").alias("uid")).agg(F.min("root").alias("near"))
-        near = common.materialize(labels.join(least, "uid").select("uid", "n", F.col("root").alias("was"), F.least("root", "near").alias("root")))
+        near = common.materialize(labels.join(least, "uid").select("uid", "n", F.col("root").alias("was"), F.least("root", "near").alias("root")), total)
         jumps = near.groupBy("root").agg(F.count(F.lit(1)).alias("k")).join(near.select(F.col("uid").alias("root"), F.col("root").alias("jump")), "root")
-        jumped = common.join_counted(near, common.materialize(jumps), ["root"], "k", near.count())
-        done = common.materialize(jumped.select("uid", "n", "was", F.least("root", "jump").alias("root")))
+        jumped = common.join_counted(near, common.materialize(jumps, total), ["root"], "k", total)
+        done = common.materialize(jumped.select("uid", "n", "was", F.least("root", "jump").alias("root")), total)
         labels = done.drop("was")
         if not done.filter("root <> was").limit(1).count():
             return labels.select("uid", "root")
 
 
 def _buckets(keyed: DataFrame) -> DataFrame:
-    """keyed (key, uid) in buckets of two or more: key, uid, n, and the bucket's two leaders."""
-    ranked = F.struct(F.xxhash64("uid").alias("h"), "uid")
-    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(ranked).alias("x"), F.max(ranked).alias("y")).filter("n > 1")
-    groups = common.materialize(groups.select("key", "n", F.col("x.uid").alias("first"), F.col("y.uid").alias("last")))
-    return common.materialize(common.join_counted(keyed, groups, ["key"], "n", keyed.count()))
-
-
-def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
-    return rows.filter(F.col(a) != F.col(b)).select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
+    """keyed (key, uid, band) in buckets of two or more, with n and the bucket's two leaders, its least and greatest uid."""
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("first"), F.max("uid").alias("last")).filter("n > 1")
+    total = keyed.count()
+    groups = common.materialize(groups, total // 2)
+    return common.materialize(common.join_counted(keyed, groups, ["key"], "n", total), total // 2)
 
 
 def _ordered(a, b) -> list:
-    """The two uids with the one of greater hash as b, so that a pair has one form."""
-    swap = F.struct(F.xxhash64(a), a) > F.struct(F.xxhash64(b), b)
-    return [F.when(swap, b).otherwise(a).alias("a"), F.when(swap, a).otherwise(b).alias("b")]
+    """The two uids with the less as b, which stands for the leader: so a pair has one form."""
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
 class _Links:
     """The pairs compared so far, and the links among them."""
 
-    def __init__(self, signatures, texts_of, words, weighting, threshold):
-        self.signatures, self.texts_of, self.words, self.weighting, self.threshold = signatures, texts_of, words, weighting, threshold
+    def __init__(self, signatures: DataFrame, texts: DataFrame, words: int, weighting: str, threshold: float):
+        self.signatures, self.texts, self.words, self.weighting, self.threshold = signatures, texts, words, weighting, threshold
         self.known: DataFrame | None = None  # a, b, est, linked
 
-    def compare(self, pairs: DataFrame) -> None:
-        """Estimate and, where the estimate allows it, verify those pairs (a, b) that aren't known yet."""
+    def compare(self, pairs: DataFrame, bound: int) -> None:
+        """Estimate and, where the estimate allows it, verify those pairs (a, b) that aren't known yet; bound: of their number."""
         if self.known is not None:
             pairs = pairs.join(self.known.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = common.materialize(pairs)
-        if not pairs.limit(1).count():
+        pairs = common.materialize(pairs, bound)
+        total = pairs.count()
+        if not total:
+            if self.known is None:
+                self.known = pairs.select("a", "b", F.lit(0.0).alias("est"), F.lit(False).alias("linked"))
             return
-        est = _estimated(pairs, self.signatures)
-        close = common.materialize(est.filter(F.col("est") >= VERIFY).select("a", "b"))
-        sims = _verified(close, self.texts_of(close), self.words, self.weighting, self.threshold)
+        self._verify(_estimated(pairs, self.signatures, total), total)
+
+    def compare_groups(self, rows: DataFrame, bound: int) -> None:
+        """Compare the rows (key, uid, open) of each key among themselves, pairs with an open one in them; in blocks."""
+        sized = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+        sized = sized.withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+        others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
+        dealt = sized.join(self.signatures, "uid").select("key", "uid", "open", "sig", "part", F.explode(others).alias("at"))
+        found = dealt.groupBy("key", "at").applyInPandas(_block, "a long, b long, est double")
+        pairs = found.groupBy("a", "b").agg(F.max("est").alias("est"))
+        if self.known is not None:
+            pairs = pairs.join(self.known.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = common.materialize(pairs, bound)
+        if total := pairs.count():
+            self._verify(pairs, total)
+
+    def _verify(self, est: DataFrame, total: int) -> None:
+        close = common.materialize(est.filter(F.col("est") >= VERIFY).select("a", "b"), total)
+        found = close.count()
+        wanted = common.materialize(close.select(F.col("a").alias("uid")).unionByName(close.select(F.col("b").alias("uid"))).distinct(), 2 * found)
+        few = wanted.count() <= BROADCAST_UIDS
+        texts = common.materialize(self.texts.join(F.broadcast(wanted) if few else wanted, "uid", "left_semi"), found, 8192)
+        sims = _verified(close, texts, self.words, self.weighting, found)
         done = est.join(sims, ["a", "b"], "left").select("a", "b", "est", (F.coalesce("sim", F.lit(0.0)) >= self.threshold).alias("linked"))
-        self.known = common.materialize(done if self.known is None else self.known.unionByName(done))
+        self.known = common.materialize(done if self.known is None else self.known.unionByName(done), total)
+
+    def any(self) -> bool:
+        return self.known is not None and self.known.filter("linked").limit(1).count() > 0
 
     def edges(self) -> DataFrame:
         return self.known.filter("linked").select("a", "b")
 
 
-def link(texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "unit", far_texts: int = FAR_TEXTS, depth: int = DEPTH) -> DataFrame | None:
-    """Verified links (a, b) between distinct texts (uid binary: MD5 of the normalised text; text), or None.
+def link(signed: DataFrame, texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, weighting: str = "unit", far_texts: int = FAR_TEXTS, depth: int = DEPTH) -> DataFrame | None:
+    """Verified links (a, b) between distinct texts, or None; signed: uid, sig, keys of each; texts: uid, text of each.
 
     Not all linked pairs are there, but all that their connected components need. Lost are only pairs that share no band:
-    at a similarity of 0.8, three in a million.
+    at a similarity of 0.8, three in a million; of two texts that meet only in large buckets, those that share no more than
+    DEPTH bands: at 0.8, six in a hundred thousand.
     """
-    signed = common.materialize(texts.mapInArrow(_sign(words, bands, rows, weighting), "uid binary, sig binary, keys array<long>"))
-    keyed = signed.select(F.explode("keys").alias("key"), "uid")
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        wanted = common.materialize(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct())
-        sha = F.unhex(F.sha2(F.col("uid"), 256))
-        maybe = exact_dedup.possibly_in(texts, sha, wanted.select(sha.alias("sha")), "maybe").filter("maybe").drop("maybe")
-        return common.materialize(maybe.join(wanted, "uid", "left_semi"))
-
-    found = _Links(signed.select("uid", "sig"), texts_of, words, weighting, threshold)
+    keyed = signed.select(F.posexplode("keys").alias("band", "key"), "uid")
+    found, labels = _Links(signed.select("uid", "sig"), texts, words, weighting, threshold), None
     for level in range(depth + 1):
         members = _buckets(keyed)
-        if not members.limit(1).count():
+        size = members.count()
+        if not size:
             break
-        stars = members.select("uid", "first").withColumnRenamed("first", "lead").unionByName(members.select("uid", F.col("last").alias("lead"))).filter("uid <> lead")
-        found.compare(stars.select(*_ordered(F.col("uid"), F.col("lead"))).distinct())
+        stars = members.select(*_ordered(F.col("uid"), F.col("first"))).unionByName(members.select(*_ordered(F.col("uid"), F.col("last"))))
+        found.compare(_apart(stars.filter("a <> b").distinct(), labels), size)
+        labels = components(found.edges()) if found.any() else None
         # What isn't in the class of its bucket's leader is compared with others of the bucket.
-        labels = components(found.edges()) if found.edges().limit(1).count() else None
-        lead = members.select("key", "uid", "first").filter("uid <> first").select("key", "uid", "first", *_ordered(F.col("uid"), F.col("first")))
-        known = found.known.select("a", "b", "est")
-        judged = lead.join(known, ["a", "b"]).select("key", "uid", "first", "est")
+        lead = members.filter("uid <> first").select("key", "band", "uid", "first", "n")
+        judged = lead.join(found.known.select(F.col("a").alias("uid"), F.col("b").alias("first"), "est"), ["uid", "first"], "left")
         if labels is not None:
             few = labels.withColumnRenamed("uid", "first").withColumnRenamed("root", "first_root")
             judged = judged.join(labels, "uid", "left").join(few, "first", "left").filter(~F.coalesce(F.col("root") == F.col("first_root"), F.lit(False)))
-        opened = common.materialize(judged.select("key", "uid", "est"))
+        opened = common.materialize(judged.select("key", "band", "uid", "n", (F.col("est") >= NEAR).alias("near")), size)
         if not opened.limit(1).count():
             break
-        near = opened.filter(F.col("est") >= NEAR).select("key", F.col("uid").alias("near"))
-        met = near.join(members.select("key", "uid"), "key").filter(F.col("near") != F.col("uid")).select(*_ordered(F.col("near"), F.col("uid"))).distinct()
-        if labels is not None:
-            met = _apart(met, labels)
-        far = opened.select("key", "uid")
-        sizes = common.materialize(far.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        few = F.col("n") <= far_texts if level < depth else F.lit(True)
-        some = far.join(sizes.filter(few).select("key"), "key")
-        other = some.select("key", F.col("uid").alias("other"))
-        met = met.unionByName(some.join(other, "key").filter(F.col("uid") < F.col("other")).select(*_ordered(F.col("uid"), F.col("other"))).distinct()).distinct()
-        found.compare(met)
-        many = sizes.filter(~few).select("key")
-        if not many.limit(1).count():
+        kinds = opened.groupBy("key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("open"), F.count_if("near").alias("nears"))
+        small = (F.col("n") <= far_texts) | (F.col("nears") <= FEW_NEAR) & (F.col("open") <= far_texts)
+        kinds = common.materialize(kinds.withColumn("meet", small), size)
+        meet, split = kinds.filter("meet").select("key"), kinds.filter("NOT meet")
+        near = opened.filter("near").join(meet, "key").select("key", F.col("uid").alias("near_uid"))
+        met = near.join(members.select("key", "uid"), "key").filter(F.col("near_uid") != F.col("uid")).select(*_ordered(F.col("near_uid"), F.col("uid")))
+        far = opened.join(meet, "key").select("key", "uid")
+        other = far.select("key", F.col("uid").alias("other"))
+        met = met.unionByName(far.join(other, "key").filter(F.col("uid") < F.col("other")).select(*_ordered(F.col("uid"), F.col("other")))).distinct()
+        found.compare(_apart(met, labels), size)
+        if not split.limit(1).count():
             break
-        finer = far.join(many, "key").join(signed.select("uid", F.explode("keys").alias("next")), "uid").filter(F.col("key") != F.col("next"))
-        keyed = common.materialize(finer.select(F.xxhash64(F.least("key", "next"), F.greatest("key", "next")).alias("key"), "uid").distinct())
-    if found.known is None or not found.edges().limit(1).count():
+        if level == depth:
+            is_open = opened.select("key", "uid", F.lit(True).alias("open"))
+            whole = members.select("key", "uid").join(split.filter("nears > 0").select("key"), "key").join(is_open, ["key", "uid"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+            found.compare_groups(common.materialize(whole.unionByName(is_open.join(split.filter("nears = 0").select("key"), "key").select("key", "uid", "open")), size), size)
+            break
+        # Where texts near the leader are left, all of the bucket goes on to finer buckets, else only what is far.
+        whole = members.select("key", "band", "uid").join(split.filter("nears > 0").select("key"), "key")
+        some = opened.select("key", "band", "uid").join(split.filter("nears = 0").select("key"), "key")
+        further = signed.select("uid", F.posexplode("keys").alias("next_band", "next"))
+        finer = whole.unionByName(some).join(further, "uid").filter(F.col("next_band") > F.col("band"))
+        keyed = common.materialize(finer.select(F.col("next_band").alias("band"), F.xxhash64("key", "next").alias("key"), "uid"), size * 8)
+    if not found.any():
         return None
-    return found.edges()
+    return common.materialize(found.edges())
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The pairs that aren't in one component yet."""
+    if labels is None:
+        return pairs
     x = labels.select(F.col("uid").alias("a"), F.col("root").alias("ra"))
     y = labels.select(F.col("uid").alias("b"), F.col("root").alias("rb"))
     return pairs.join(x, "a", "left").join(y, "b", "left").filter(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))).select("a", "b")
 
 
-def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """(doc_id, uid, class_id, class_size, n_links) for each row of df: class_id is the least doc_id of its class.
+def _classified(df: DataFrame, text: str, doc_id: str, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weighting: str = "unit", **options) -> tuple[DataFrame, DataFrame, str, int]:
+    """df as a table with its row numbers; (of_key, n, class_id, class_size, n_links, keeper) of each text; the names' prefix; df's rows.
 
-    A class is a connected component of texts whose shingle sets are similar by THRESHOLD or more; equal normalised texts
-    are in one class, among them all null and empty ones. n_links: verified links of the text to different texts (not
-    all that there are: those that join its class). Texts of fewer words than a shingle are one shingle. Null doc_ids sort
-    last; repeated rows stay. options: those of link().
+    keeper: the row that stands for the class.
     """
-    shown = normalised(text)
-    base = df.select(F.col(doc_id).alias("doc_id"), shown.alias("text"))
-    ids = common.materialize(base.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("uid")))
+    own = common.free_name(df, "own_")
+    while any(c.lower().startswith(own) for c in df.columns):
+        own = "_" + own
+    table = common.materialize(df.withColumn(own + "key", text_key(text)).withColumn(own + "row", F.monotonically_increasing_id()))
+    ids = table.select(F.col(doc_id).alias("doc_id"), F.col(own + "key").alias("key"), F.col(own + "row").alias("row"))
     total = ids.count()
-    copies = common.materialize(ids.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")))
-    # One row of each text: where there are copies, the one with the least doc_id, and any one of those with equal ids.
-    uid = F.unhex(F.md5(F.encode("text", "UTF-8")))
-    many = copies.filter("n > 1")
-    sha = lambda c: F.unhex(F.sha2(c, 256))
-    marked = exact_dedup.possibly_in(base.withColumn("uid", uid), sha(F.col("uid")), many.select(sha(F.col("uid")).alias("sha")), "maybe")
-    single = marked.filter("NOT maybe").select("uid", "text")
-    chosen = marked.filter("maybe").join(copies.select(F.col("uid").alias("of"), "least"), (F.col("uid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")))
-    texts = single.unionByName(chosen.select("uid", "text").dropDuplicates(["uid"]))
-    edges = link(texts, **options)
+    copies = ids.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row")).alias("lead"))
+    copies = common.materialize(copies.select("key", "n", F.col("lead.doc_id").alias("least"), F.col("lead.row").alias("uid")), total)
+    texts = table.select(F.col(own + "row").alias("uid"), common.text_or_empty(text).alias("text"))
+    signed = common.to_python(texts).mapInArrow(_sign(words, bands, rows, weighting), "uid long, sig binary, keys array<long>")
+    signed = common.materialize(signed.join(copies.select("uid"), "uid", "left_semi"), total, 512)
+    edges = link(signed, texts, words=words, weighting=weighting, **options)
     if edges is None:
-        roots = copies.select("uid", "n", "least", F.col("uid").alias("root"), F.lit(0).cast("long").alias("n_links"))
+        roots = copies.withColumn("root", F.col("uid")).withColumn("n_links", F.lit(0).cast("long"))
     else:
-        edges = common.materialize(edges)
         degree = edges.select(F.col("a").alias("uid")).unionByName(edges.select(F.col("b").alias("uid"))).groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"))
-        roots = copies.join(components(edges), "uid", "left").join(degree, "uid", "left").select("uid", "n", "least", F.coalesce("root", "uid").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    roots = common.materialize(roots)
-    whole = common.materialize(roots.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.min("least").alias("class_id"), F.sum("n").alias("class_size")))
-    of_text = common.join_counted(roots.select("uid", "n", "n_links", "root"), whole, ["root"], "k", roots.count())
-    of_text = common.materialize(of_text.select("uid", "n", "n_links", "class_id", "class_size"))
-    return common.join_counted(ids, of_text, ["uid"], "n", total).select("doc_id", "uid", "class_id", "class_size", "n_links")
-
-
-def keep_one(df: DataFrame, **options) -> DataFrame:
-    """One row of df (doc_id, text and any others) for each class: that with the least doc_id; of equal rows, one."""
-    found = common.materialize(classes(df, **options).filter("class_size > 1"))
-    uid, own, maybe = F.unhex(F.md5(F.encode(normalised(), "UTF-8"))), common.free_name(df, "own_uid"), common.free_name(df, "own_maybe")
-    sha = lambda c: F.unhex(F.sha2(c, 256))
-    keyed = df.withColumn(own, uid)
-    marked = exact_dedup.possibly_in(keyed, sha(F.col(own)), found.select(sha(F.col("uid")).alias("sha")), maybe)
-    texts = common.materialize(found.groupBy("uid", "class_id").agg(F.count(F.lit(1)).alias("n")))
-    rows = common.materialize(marked.filter(maybe).drop(maybe).withColumnRenamed(own, "own_key"))
-    known = texts.select(F.col("uid").alias("own_key"), F.col("class_id").alias("own_class"), F.col("n").alias("own_n"))
-    joined = common.join_counted(rows, known, ["own_key"], "own_n", rows.count()).filter(F.col("doc_id").eqNullSafe(F.col("own_class")))
-    first = joined.dropDuplicates(["own_class", "doc_id"]).select(*df.columns)
-    rest = rows.join(known.select("own_key"), "own_key", "left_anti").select(*df.columns)
-    return marked.filter(~F.col(maybe)).select(*df.columns).unionByName(rest).unionByName(first)
+        linked = common.materialize(components(edges).join(degree, "uid"))
+        roots = copies.join(linked, "uid", "left").withColumn("root", F.coalesce("root", "uid")).withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    roots = common.materialize(roots, total)
+    whole = roots.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("least", "uid")).alias("lead"), F.sum("n").alias("class_size"))
+    whole = common.materialize(whole.select("root", "k", F.col("lead.least").alias("class_id"), F.col("lead.uid").alias("keeper"), "class_size"), total)
+    of_text = common.join_counted(roots.select("key", "n", "n_links", "root"), whole, ["root"], "k", total)
+    return table, common.materialize(of_text.select("key", "n", "n_links", "class_id", "class_size", "keeper"), total), own, total
+
+
+def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """(doc_id, class_id, class_size, n_links) for each row of df: class_id is the least doc_id of its class.
+
+    A class is a connected component of texts whose shingle sets are similar by THRESHOLD or more; texts that are equal but
+    for case and white space are in one class, among them all null and empty ones. n_links: verified links of the text to
+    different texts (not all that there are: those that join its class). A text of fewer words than a shingle is one
+    shingle. A null doc_id sorts first; repeated rows stay. options: words, bands, rows, weighting and those of link().
+    """
+    table, of_text, own, total = _classified(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "doc_id", **options)
+    ids = table.select("doc_id", F.col(own + "key").alias("key"))
+    joined = common.join_counted(ids, of_text, ["key"], "n", total)
+    return common.compact(joined.select("doc_id", "class_id", "class_size", "n_links"), total)
+
+
+def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """One row of df for each class, with df's columns: that with the least doc_id; of equal rows, one."""
+    table, of_text, own, total = _classified(df, text, doc_id, **options)
+    row = own + "row"
+    some = common.materialize(of_text.filter("class_size > 1").select("key", "n", F.col("keeper").alias("keeper")), total)
+    ids = table.select(F.col(own + "key").alias("key"), F.col(row).alias("row"))
+    gone = common.materialize(common.join_counted(ids, some, ["key"], "n", total).filter("row <> keeper").select(F.col("row").alias(row)), total)
+    few = gone.count() <= BROADCAST_UIDS
+    return table.join(F.broadcast(gone) if few else gone, row, "left_anti").select(*df.columns)
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return classes(common.documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "n_links")
+    return classes(common.documents(spark, sf_dir))
