@@ -7,10 +7,12 @@ is 0 or 1; the totals don't change on the way. Flights run in blocks of BLOCK_RO
 leaves (at most two documents) flies again with what FAN_IN other blocks left, level by level, until one block a source
 remains. Landing rounds those last two; what that adds to or takes from the source's words is laid on its reserve, about
 RESERVE of its smaller documents that haven't flown yet: their probabilities are raised or lowered together, and they fly
-and land too. So the words taken miss the target by a small document at most, while each draw stays unbiased.
+and land too. So the words taken miss the target by a small document at most, while each draw stays unbiased. Where the
+reserve can't make up for a landing (a source that is mostly one document), the nearest landing is taken instead.
 """
 
 import random
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -148,8 +150,15 @@ def _land(seed: int):
         draw = random.Random(f"{seed}/landing/{key}")
         p, size, n = rows["p"].tolist(), rows["size"].tolist(), int((~rows["reserve"]).sum())
         x = [(1.0, float(s)) for s in size]
+        lacks_of = lambda ends: sum(s * (a - b) for s, a, b in zip(size, p, ends, strict=False))
+        less, more, held = -sum(s * q for s, q in zip(size[n:], p[n:], strict=True)), sum(s * (1 - q) for s, q in zip(size[n:], p[n:], strict=True)), sum(size[n:])
+        beyond = lambda ends: max(0.0, less - lacks_of(ends), lacks_of(ends) - more)
         landed = cube_flight(p[:n], x[:n], draw, landing=True)
-        lacks, held = sum(s * (a - b) for s, a, b in zip(size, p, landed, strict=False)), sum(size[n:])
+        if beyond(landed) > 0:  # more than the reserve can make up for: the nearest landing instead
+            open_ = [i for i in range(n) if 0 < p[i] < 1]
+            ends = [[float(bits[open_.index(i)]) if i in open_ else q for i, q in enumerate(p[:n])] for bits in product((0, 1), repeat=len(open_))]
+            landed = min(ends, key=beyond)
+        lacks = lacks_of(landed)
         raised = [min(1.0, max(0.0, q + lacks / held)) if held else q for q in p[n:]]
         rows["p"] = landed + cube_flight(raised, x[n:], draw, landing=True)
         return rows
