@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import common
-from .common import slices
+from .common import release, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: A word and the white space before it, without the ASCII punctuation that follows letters. The pattern ends every match
@@ -33,7 +33,7 @@ _WORD = re.compile(r"[^\S\x1c-\x1f]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-/:-@\[-`{-~
 PIECE_CHARS = 1 << 20
 _CUT = re.compile(r"[\S\x1c-\x1f](?=[^\S\x1c-\x1f])")
 #: Words whose ids a worker remembers, and the longest of them.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 CACHE_CHARS = 48
 #: So many new words are encoded as one text.
 JOINED_WORDS = 5_000
@@ -115,11 +115,9 @@ class ByteBpe:
         self.ids.update(zip(words, [flat[a:e] for a, e in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)], strict=True))
 
     def _learn(self, words: list[list[str]], offsets: bool) -> list[str]:
-        """Encode the words that aren't known yet; gives those too long to remember."""
+        """Encode the words that aren't known yet; gives those that aren't to be remembered."""
         known = self.spans if offsets else self.ids
-        if len(known) > CACHE_WORDS:
-            self.ids.clear()
-            self.spans.clear()
+        full = len(self.ids) >= CACHE_WORDS  # the words that came first stay: frequent ones are among them
         new = list(set(chain.from_iterable(words)).difference(known))
         if offsets:
             for word, x in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
@@ -131,7 +129,7 @@ class ByteBpe:
             alone = [w for w in new if w not in self.ids]
             for word, x in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
                 self.ids[word] = np.array(x.ids, "<i4").tobytes()
-        return [w for w in new if len(w) > CACHE_CHARS]
+        return new if full else [w for w in new if len(w) > CACHE_CHARS]
 
     def encode(self, texts: list[str], offsets: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         """The ids of each text (int32) and, if asked for, the start and end of each id's characters (rows of two).
@@ -199,11 +197,13 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, offsets:
                 if offsets:
                     columns += [pa.array([spans[:, i] for _, spans in found], ints) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *new])
+        del bpe
+        release()
 
     schema = read.select(*keep).schema
     for name in new:
         schema = schema.add(name, T.ArrayType(T.IntegerType()))
-    return read.mapInArrow(run, schema)
+    return common.to_python(read).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None, as_bytes: bool = False) -> DataFrame:
@@ -219,7 +219,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, as_bytes: b
             made = pa.array([back(x or ()) for x in batch.column(ids).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], made], names=[*rest, "decoded"])
 
-    return df.mapInArrow(run, df.select(*rest).schema.add("decoded", "binary" if as_bytes else "string"))
+    return common.to_python(df).mapInArrow(run, df.select(*rest).schema.add("decoded", "binary" if as_bytes else "string"))
 
 
 def digests(df: DataFrame, text: str = "text", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -239,8 +239,10 @@ def digests(df: DataFrame, text: str = "text", path: str | None = None, keep: li
                 rows = [(len(ids), digest(" ".join([shown[i] for i in ids]).encode()), digest(bpe.decode_bytes(ids))) for ids in (x.tolist() for x, _ in bpe.encode(part.column(own).to_pylist()))]
                 n, a, b = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=[*keep, *new])
+        del bpe
+        release()
 
-    return read.mapInArrow(run, read.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
+    return common.to_python(read).mapInArrow(run, read.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import slices
+from .common import release, slices
 
 MIN_DOCS = 10
 BROADCAST_KEYS = 200_000
 #: Hashes a task holds before it sends its counts on.
-FLUSH_KEYS = 300_000
+FLUSH_KEYS = 200_000
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -52,8 +52,9 @@ def frequent_lines(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS)
                 if len(seen) >= FLUSH_KEYS:
                     yield flushed()
         yield flushed()
+        release()
 
-    counted = df.select(common.text_or_empty(text).alias("text")).mapInArrow(count, "key binary, n long")
+    counted = common.to_python(df.select(common.text_or_empty(text).alias("text"))).mapInArrow(count, "key binary, n long")
     return counted.groupBy("key").agg(F.sum("n").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
 
 
@@ -72,7 +73,7 @@ def _dropping(df: DataFrame, text: str, positions, keep: list[str]) -> DataFrame
                     gone.append(len(lines) - len(stay))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(before, pa.int64()), pa.array(gone, pa.int64())], names=[*keep, "kept", "n_lines", "n_dropped"])
 
-    return df.mapInArrow(run, df.select(*keep).schema.add("kept", "string").add("n_lines", "long").add("n_dropped", "long"))
+    return common.to_python(df).mapInArrow(run, df.select(*keep).schema.add("kept", "string").add("n_lines", "long").add("n_dropped", "long"))
 
 
 def drop_common_lines(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, keep: list[str] | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:

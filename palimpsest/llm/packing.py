@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .bpe import RANKS, cut, read_ranks
-from .common import slices
+from .common import release, slices
 
 SEQ_LEN = 2048
 BLOCK_BYTES = 8 << 20
@@ -95,6 +95,8 @@ def _segments(ranks: dict[bytes, int], pattern: str, seq_len: int, kind: str):
                         counts.append(len(part))
                         rows.append(part.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()), pa.array(counts, pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "piece", "n", "ids"])
+        del encoding
+        release()
 
     return run
 
@@ -137,7 +139,7 @@ def pack(df: DataFrame, seq_len: int = SEQ_LEN, path: str | None = None, pattern
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty("text").alias("text"))
     blocks = (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // block_bytes + 1
     sent = df.sparkSession.sparkContext.broadcast(ranks)
-    cutup = docs.mapInArrow(_segments(sent, pattern, seq_len, kind), "doc_id long, piece int, n int, ids binary")
+    cutup = common.to_python(docs).mapInArrow(_segments(sent, pattern, seq_len, kind), "doc_id long, piece int, n int, ids binary")
     dealt = cutup.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
     return dealt.groupBy("block").applyInArrow(_pack(seq_len, kind, pad), PACKED)
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import slices
+from .common import release, slices
 
 MAX_TOXIC = 1500
 MAX_CLEAN = 3000
@@ -33,7 +33,7 @@ MAX_CUES = 5000
 NEAR, AROUND = 2, 8
 #: Powers beyond this one are equal in double precision once scaled.
 FARTHEST = 2048
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _TOKEN = re.compile(r"\w+")
 
@@ -305,9 +305,11 @@ def tag(df: DataFrame, model: Crf, text: str = "text", keep: list[str] | None =
                     scores.append(crf.score(words, found))
                     spans.append(runs(low, found))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, span_type)], names=[*keep, "score", "predicted", "spans"])
+        del crf
+        release()
 
     read = df.select(*keep, common.text_or_empty(text).alias(own))
-    return read.mapInArrow(run, read.select(*keep).schema.add("score", "double").add("predicted", "integer").add("spans", _SPANS))
+    return common.to_python(read).mapInArrow(run, read.select(*keep).schema.add("score", "double").add("predicted", "integer").add("spans", _SPANS))
 
 
 def keep_clean(df: DataFrame, model: Crf, text: str = "text") -> DataFrame:
