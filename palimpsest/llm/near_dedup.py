@@ -8,10 +8,14 @@
 3. Banding: texts that agree on all registers of a band share a bucket. In each bucket, every text is paired with two
    leaders, not with every other.
 4. Pairs whose signatures allow the threshold are verified on whole texts.
-5. A text that isn't linked to its bucket's leader may still be to another member. So those that aren't in the leader's
-   class yet are compared with the others of the bucket: a text that is far from the leader can't be linked to one that
-   is linked to it (Jaccard distance is a metric), so it meets only the others that are far; one nearer meets all
-   members. Large sets of far texts (a passage that many texts share) are first split by what they share in further bands.
+5. A text that isn't linked to its bucket's leader may still be to another member. So those whose estimate for the leader
+   is too low for a link, and that aren't in its class, are compared with the others of the bucket: a text that is far from
+   the leader can't be linked to one that may be linked to it (Jaccard distance is a metric, and two texts that are linked
+   share too many registers to differ so in their estimates), so it meets only the others that are far; one nearer meets
+   all members. Large buckets are first split, DEPTH times, by what their texts share in further bands; what is still large
+   is compared in blocks of signatures, from which only pairs come that join families. A family is a component of pairs
+   that may be links; texts of a family that are not in one class yet are compared in blocks, and only verified links that
+   join classes leave a block.
 6. Connected components of the links, by least labels and pointer jumping.
 
 Hot buckets and leaders are split or broadcast within bounds; nothing of the size of the corpus goes to the driver.
@@ -42,7 +46,7 @@ FAR_TEXTS = 32
 FEW_NEAR = 3
 DEPTH = 1
 #: Rows of a block that is compared with another.
-BLOCK = 2048
+BLOCK = 512
 #: Pairs of one leader in a task.
 LEADER_PAIRS = 1000
 #: Up to so many row numbers (8 bytes each, counted first) are broadcast.
@@ -178,18 +182,73 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
-def _block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block of rows with another (or of one with itself) whose estimate allows a link, one of them open."""
-    i, j = rows["at"].iloc[0]["i"], rows["at"].iloc[0]["j"]
-    x, y = (rows[rows["part"] == k].sort_values("uid") for k in (i, j))
-    a, b = (np.frombuffer(b"".join(r["sig"]), "<u2").reshape(len(r), -1) if len(r) else np.zeros((0, 1), "<u2") for r in (x, y))
-    ua, ub, oa, ob = x["uid"].to_numpy(), y["uid"].to_numpy(), x["open"].to_numpy(bool), y["open"].to_numpy(bool)
-    out = []
-    for k in range(len(a) if len(b) else 0):
-        est = (b == a[k]).mean(axis=1)
-        hits = np.flatnonzero((est >= VERIFY) & (ob | oa[k]) & ((ub > ua[k]) if i == j else (ub != ua[k])))
-        out += [(max(ua[k], ub[h]), min(ua[k], ub[h]), est[h]) for h in hits]
-    return pd.DataFrame(out, columns=["a", "b", "est"])
+def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, bool]:
+    """The two blocks of a group of rows, their signatures as matrices, and whether they are one block."""
+    at = rows["at"].iloc[0]
+    x, y = (rows[rows["part"] == k].sort_values("uid").reset_index(drop=True) for k in (at["i"], at["j"]))
+    a, b = (np.frombuffer(b"".join(r["sig"]), "<u2").reshape(len(r), -1) for r in (x, y))
+    return x, y, a, b, at["i"] == at["j"]
+
+
+def _bridges(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one block with another (or itself): pairs whose estimate allows a link, as many as join families that were apart."""
+    x, y, a, b, same = _sides(rows)
+    open_a, open_b = x["open"].to_numpy(bool), y["open"].to_numpy(bool)
+    both = pd.factorize(pd.concat([x["family"], y["family"]]))[0]
+    fam, n, out = both, len(x), []
+    for k in range(n if len(y) else 0):
+        far = fam[n:] != fam[k]
+        if far.any():
+            near = np.flatnonzero(far & ((b == a[k]).mean(axis=1) >= VERIFY) & (open_b | open_a[k]))
+            for h in near:
+                if fam[n + h] != fam[k]:
+                    fam = np.where(fam == fam[n + h], fam[k], fam)
+                    out.append((max(x["uid"][k], y["uid"][h]), min(x["uid"][k], y["uid"][h])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _within(words: int, weighting: str, threshold: float):
+    """Of one block of a family with another (or itself): the verified links that join classes that were apart."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, a, b, same = _sides(rows)
+        n, out = len(x), []
+        root = pd.factorize(pd.concat([x["class_"], y["class_"]]))[0]
+        made: dict[int, tuple[str, np.ndarray]] = {}
+
+        def of(k: int) -> tuple[str, np.ndarray]:
+            if k not in made:
+                text = words_of(x["text"][k] if k < n else y["text"][k - n])
+                made[k] = text, np.unique(shingles([text], words)[0])
+            return made[k]
+
+        for k in range(n if len(y) else 0):
+            near = np.flatnonzero((root[n:] != root[k]) & ((b == a[k]).mean(axis=1) >= VERIFY))
+            for h in near:
+                if root[n + h] == root[k]:
+                    continue
+                (s, p), (t, q) = of(k), of(n + h)
+                if weighting == "unit":
+                    both = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= threshold * max(len(p), len(q)) else 0
+                    alike = both >= threshold * (len(p) + len(q) - both) and both > 0
+                else:
+                    alike = similarity(s, t, words, weighting) >= threshold
+                if alike:
+                    root = np.where(root == root[n + h], root[k], root)
+                    out.append((max(x["uid"][k], y["uid"][h]), min(x["uid"][k], y["uid"][h])))
+        release()
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, by: str) -> DataFrame:
+    """rows with n (rows of the key), part, and at: one row for each pair of blocks that it is in."""
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sized = rows.join(counts, by).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    sized = sized.withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
+    return sized.withColumn("at", F.explode(others)).drop("n", "parts")
 
 
 def _estimated(pairs: DataFrame, signatures: DataFrame, total: int) -> DataFrame:
@@ -267,6 +326,8 @@ class _Links:
     def __init__(self, signatures: DataFrame, texts: DataFrame, words: int, weighting: str, threshold: float):
         self.signatures, self.texts, self.words, self.weighting, self.threshold = signatures, texts, words, weighting, threshold
         self.known: DataFrame | None = None  # a, b, est, linked
+        self.bridges: DataFrame | None = None
+        self.settled: DataFrame | None = None
 
     def compare(self, pairs: DataFrame, bound: int) -> None:
         """Estimate and, where the estimate allows it, verify those pairs (a, b) that aren't known yet; bound: of their number."""
@@ -280,19 +341,42 @@ class _Links:
             return
         self._verify(_estimated(pairs, self.signatures, total), total)
 
-    def compare_groups(self, rows: DataFrame, bound: int) -> None:
-        """Compare the rows (key, uid, open) of each key among themselves, pairs with an open one in them; in blocks."""
-        sized = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-        sized = sized.withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
-        others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
-        dealt = sized.join(self.signatures, "uid").select("key", "uid", "open", "sig", "part", F.explode(others).alias("at"))
-        found = dealt.groupBy("key", "at").applyInPandas(_block, "a long, b long, est double")
-        pairs = found.groupBy("a", "b").agg(F.max("est").alias("est"))
-        if self.known is not None:
-            pairs = pairs.join(self.known.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = common.materialize(pairs, bound)
-        if total := pairs.count():
-            self._verify(pairs, total)
+    def likely(self) -> DataFrame:
+        """Pairs (a, b) whose estimate allows a link."""
+        pairs = self.known.filter(F.col("est") >= VERIFY).select("a", "b")
+        return pairs if self.bridges is None else pairs.unionByName(self.bridges)
+
+    def families(self) -> DataFrame | None:
+        """(uid, root): components of the likely pairs."""
+        return components(self.likely()) if self.likely().limit(1).count() else None
+
+    def bridge(self, rows: DataFrame, bound: int) -> None:
+        """Join families by likely pairs among the rows (key, uid, open) of each key, with an open one in each; in blocks."""
+        families = self.families()
+        rows = rows.withColumn("family", F.col("uid")) if families is None else rows.join(families, "uid", "left").withColumn("family", F.coalesce("root", "uid")).drop("root")
+        dealt = _in_blocks(rows, "key").join(self.signatures, "uid").select("key", "uid", "open", "family", "sig", "part", "at")
+        self.bridges = common.materialize(dealt.groupBy("key", "at").applyInPandas(_bridges, "a long, b long").distinct(), bound)
+
+    def settle(self) -> None:
+        """Compare all texts of each family of several classes among themselves, in blocks, and add the links that join classes."""
+        families = self.families()
+        if families is None:
+            return
+        labels = components(self.edges()).withColumnRenamed("root", "class_") if self.any() else None
+        rows = families.withColumnRenamed("root", "family")
+        rows = rows.withColumn("class_", F.col("uid")) if labels is None else rows.join(labels, "uid", "left").withColumn("class_", F.coalesce("class_", "uid"))
+        rows = common.materialize(rows)
+        # Of two texts, the one pair is known.
+        open_ = rows.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.min("class_").alias("x"), F.max("class_").alias("y")).filter("k > 2 AND x <> y").select("family")
+        rows = common.materialize(rows.join(open_, "family"))
+        n = rows.count()
+        if not n:
+            return
+        few = F.broadcast(rows) if n <= BROADCAST_UIDS else rows
+        whole = common.materialize(self.texts.join(few, "uid").join(self.signatures, "uid"), n, 8192)
+        dealt = _in_blocks(whole, "family").select("family", "uid", "class_", "text", "sig", "part", "at")
+        found = common.to_python(dealt).groupBy("family", "at").applyInPandas(_within(self.words, self.weighting, self.threshold), "a long, b long")
+        self.settled = common.materialize(found, n)
 
     def _verify(self, est: DataFrame, total: int) -> None:
         close = common.materialize(est.filter(F.col("est") >= VERIFY).select("a", "b"), total)
@@ -305,10 +389,11 @@ class _Links:
         self.known = common.materialize(done if self.known is None else self.known.unionByName(done), total)
 
     def any(self) -> bool:
-        return self.known is not None and self.known.filter("linked").limit(1).count() > 0
+        return self.known is not None and self.edges().limit(1).count() > 0
 
     def edges(self) -> DataFrame:
-        return self.known.filter("linked").select("a", "b")
+        linked = self.known.filter("linked").select("a", "b")
+        return linked if self.settled is None else linked.unionByName(self.settled)
 
 
 def link(signed: DataFrame, texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, weighting: str = "unit", far_texts: int = FAR_TEXTS, depth: int = DEPTH) -> DataFrame | None:
@@ -334,6 +419,8 @@ def link(signed: DataFrame, texts: DataFrame, words: int = WORDS, threshold: flo
         if labels is not None:
             few = labels.withColumnRenamed("uid", "first").withColumnRenamed("root", "first_root")
             judged = judged.join(labels, "uid", "left").join(few, "first", "left").filter(~F.coalesce(F.col("root") == F.col("first_root"), F.lit(False)))
+        # One whose pair with the leader may be a link is in its family, and settled there.
+        judged = judged.filter(F.coalesce("est", F.lit(0.0)) < VERIFY)
         opened = common.materialize(judged.select("key", "band", "uid", "n", (F.col("est") >= NEAR).alias("near")), size)
         if not opened.limit(1).count():
             break
@@ -352,7 +439,7 @@ def link(signed: DataFrame, texts: DataFrame, words: int = WORDS, threshold: flo
         if level == depth:
             is_open = opened.select("key", "uid", F.lit(True).alias("open"))
             whole = members.select("key", "uid").join(split.filter("nears > 0").select("key"), "key").join(is_open, ["key", "uid"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-            found.compare_groups(common.materialize(whole.unionByName(is_open.join(split.filter("nears = 0").select("key"), "key").select("key", "uid", "open")), size), size)
+            found.bridge(common.materialize(whole.unionByName(is_open.join(split.filter("nears = 0").select("key"), "key").select("key", "uid", "open")), size), size)
             break
         # Where texts near the leader are left, all of the bucket goes on to finer buckets, else only what is far.
         whole = members.select("key", "band", "uid").join(split.filter("nears > 0").select("key"), "key")
@@ -360,6 +447,8 @@ def link(signed: DataFrame, texts: DataFrame, words: int = WORDS, threshold: flo
         further = signed.select("uid", F.posexplode("keys").alias("next_band", "next"))
         finer = whole.unionByName(some).join(further, "uid").filter(F.col("next_band") > F.col("band"))
         keyed = common.materialize(finer.select(F.col("next_band").alias("band"), F.xxhash64("key", "next").alias("key"), "uid"), size * 8)
+    if found.known is not None:
+        found.settle()
     if not found.any():
         return None
     return common.materialize(found.edges())
