@@ -1,5 +1,8 @@
 """Queries over the driver's tables, each applying operators of this package, and DuckDB SQL for those that SQL can express.
 
+Where the SQL of a query takes only some of the rows, the query of that name takes the same ones, and NAME_whole, which has no
+SQL, applies the same operator to all of them.
+
 The tables stand in for the real inputs: conversations for revision histories (a conversation is a page, a turn a
 revision), pages for crawl snapshots, documents for page and source texts, events for things with a time.
 """
@@ -244,7 +247,16 @@ UNION ALL SELECT doc_id, CAST(0 AS BIGINT), count(DISTINCT CASE WHEN hit = 1 THE
 
 @query(_SNIPPET)
 def best_snippet_window(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter(F.length("text").between(200, 3000)).select("doc_id", text.words(F.lower("text")).alias("toks"))
+    return _snippet_windows(table(spark, sf_dir, "documents").filter(F.length("text").between(200, 3000)))
+
+
+@query()
+def best_snippet_window_whole(spark, sf_dir):
+    return _snippet_windows(table(spark, sf_dir, "documents"))
+
+
+def _snippet_windows(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", text.words(F.lower("text")).alias("toks"))
     reference = F.array(*[F.lit(w) for w in ("the", "and", "is", "of", "er")])
     found = rows.withColumn("best", arrays.best_window(F.col("toks"), reference, 20)).withColumn("start", arrays.best_start(F.col("toks"), reference, 20))
     return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("best.overlap").cast("long").alias("overlap"))
@@ -265,7 +277,16 @@ e AS (SELECT doc_id, pos AS at FROM x WHERE tok = 'of')
 SELECT u.doc_id, CAST(u.url_index AS BIGINT) AS url_index, CAST(coalesce(min(abs(e.at - u.pos)), 100000000) AS BIGINT) AS dist FROM u LEFT JOIN e ON u.doc_id = e.doc_id GROUP BY u.doc_id, u.url_index
 """)
 def url_token_distance(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter(F.length("text") < 2000).select("doc_id", text.words(F.lower("text")).alias("toks"))
+    return _url_distances(table(spark, sf_dir, "documents").filter(F.length("text") < 2000))
+
+
+@query()
+def url_token_distance_whole(spark, sf_dir):
+    return _url_distances(table(spark, sf_dir, "documents"))
+
+
+def _url_distances(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", text.words(F.lower("text")).alias("toks"))
     found = rows.select("doc_id", F.explode(arrays.distances(arrays.positions(F.col("toks"), "the"), arrays.positions(F.col("toks"), "of"))).alias("d"))
     return found.select("doc_id", F.col("d.url_index").cast("long").alias("url_index"), F.col("d.dist").cast("long").alias("dist"))
 
@@ -317,7 +338,16 @@ k AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY coale
 SELECT d.doc_id, coalesce(k.word, 'n/a') AS control FROM d LEFT JOIN k ON k.doc_id = d.doc_id AND k.nth = 1
 """)
 def rarest_shared_token(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter(F.length("text") < 1500).select("doc_id", F.array_distinct(text.words(F.lower("text"))).alias("target"), F.array_distinct(text.words(F.lower(F.concat("source", F.lit(" the of and"))))).alias("grounding"))
+    return _rarest_shared(table(spark, sf_dir, "documents").filter(F.length("text") < 1500))
+
+
+@query()
+def rarest_shared_token_whole(spark, sf_dir):
+    return _rarest_shared(table(spark, sf_dir, "documents"))
+
+
+def _rarest_shared(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", F.array_distinct(text.words(F.lower("text"))).alias("target"), F.array_distinct(text.words(F.lower(F.concat("source", F.lit(" the of and"))))).alias("grounding"))
     frequency = rows.select(F.explode("target").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
     return grounding.control_tokens(rows, frequency, "doc_id")
 
@@ -327,7 +357,15 @@ _STOP = ", ".join(f"'{w}'" for w in sorted(set(text.STOP_WORDS["en"])))
 
 @query(rf"SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: w NOT IN ({_STOP})))) AS word FROM documents WHERE lang = 'en' AND length(text) < 3000")
 def stop_token_difference(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter((F.col("lang") == "en") & (F.length("text") < 3000))
+    return _without_stop_words(table(spark, sf_dir, "documents").filter((F.col("lang") == "en") & (F.length("text") < 3000)))
+
+
+@query()
+def stop_token_difference_whole(spark, sf_dir):
+    return _without_stop_words(table(spark, sf_dir, "documents").filter(F.col("lang") == "en"))
+
+
+def _without_stop_words(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.explode(grounding.reference_tokens(text.words(F.lower("text")), F.lit(""))).alias("word"))
 
 

@@ -350,6 +350,37 @@ def test_streams(spark, tmp_path):
     assert sorted((r.page_id, r.seq, r.src_text, r.tgt_text) for r in spark.table("pairs").collect()) == [("A", 2, "x", "y"), ("A", 3, "y", "w")]
 
 
+def test_long_texts_reach_the_operators(spark, tmp_path):
+    """The _whole queries by brute force, over short texts and texts beyond all limits of the queries with SQL."""
+    import random
+    import re
+    from collections import Counter
+
+    from palimpsest.queries import QUERIES
+
+    rnd = random.Random(3)
+    some = lambda n: " ".join(rnd.choice(["The", "of", "and", "is", "er", "web", "stone", "river", "ñandú", "x1"]) for _ in range(n))
+    docs = [(i, t, "en" if i % 3 else "de", "Web-River") for i, t in enumerate([None, "", "the", some(10), some(20), some(21), some(60), some(500), some(900), some(1500) + " rare"])]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: sorted(tuple(r[c] for c in r.__fields__) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    toks = {i: re.findall(r"\w+", (t or "").lower()) for i, t, _, _ in docs}
+    counts = Counter(w for v in toks.values() for w in set(v))
+    controls, distances, windows = [], [], []
+    for i, v in toks.items():
+        shared = set(v) & {"web", "river", "the", "of", "and"}
+        controls.append((i, min(shared or set(v), key=lambda w: (counts[w], w), default="n/a")))
+        of = [k for k, w in enumerate(v) if w == "of"]
+        distances += [(i, n, min((abs(k - e) for e in of), default=100_000_000)) for n, k in enumerate(k for k, w in enumerate(v) if w == "the")]
+        hit = [w in ("the", "and", "is", "of", "er") for w in v]
+        ends = [(sum(hit[e - 19 : e + 1]), e) for e in range(20, len(v))]
+        tops = [e for n, e in ends if n == max(ends)[0]]
+        windows.append((i, tops[len(tops) // 2] - 20, max(ends)[0]) if ends else (i, 0, len({w for w, h in zip(v, hit, strict=True) if h})))
+    assert run("rarest_shared_token_whole") == sorted(controls)
+    assert run("url_token_distance_whole") == sorted(distances)
+    assert run("best_snippet_window_whole") == [(0, 0, None)] + windows[1:]
+    assert run("stop_token_difference_whole") == sorted((i, w) for i, v in toks.items() if i % 3 for w in set(v) - set(text.STOP_WORDS["en"]))
+
+
 def test_queries_match_sql(spark):
     """Every query with SQL, over the smallest tables."""
     import os
