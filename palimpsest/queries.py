@@ -315,8 +315,18 @@ UNION ALL SELECT doc_id, md5(new_source), md5(source), 'n' FROM p
 """)
 def counterfactual_explode(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
+    return _with_next(docs.filter(F.col("doc_id") % 10 == 0), docs)
+
+
+@query()
+def counterfactual_explode_whole(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return _with_next(docs, docs)
+
+
+def _with_next(some: DataFrame, docs: DataFrame) -> DataFrame:
     nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("new_source"))
-    rows = docs.filter(F.col("doc_id") % 10 == 0).select("doc_id", F.md5(F.col("text").cast("binary")).alias("source")).join(nxt, "doc_id")
+    rows = some.select("doc_id", F.md5(F.col("text").cast("binary")).alias("source")).join(nxt, "doc_id")
     return grounding.counterfactuals(rows.select("source", "new_source", F.col("doc_id").alias("context"), F.lit("t").alias("target"), F.lit("n").alias("new_target")))
 
 
@@ -477,7 +487,16 @@ def document_lines(spark, sf_dir):
 
 @query("SELECT CAST(url AS VARCHAR) AS url, count(*) AS n FROM (SELECT l_partkey AS url FROM lineitem WHERE l_linenumber <= 3 UNION ALL SELECT l_suppkey FROM lineitem WHERE l_linenumber <= 3) GROUP BY url")
 def url_explode(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select(F.explode(F.concat(F.array("l_partkey"), F.array("l_suppkey")).cast("array<string>")).alias("url"))
+    return _url_counts(table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3"))
+
+
+@query()
+def url_explode_whole(spark, sf_dir):
+    return _url_counts(table(spark, sf_dir, "lineitem"))
+
+
+def _url_counts(items: DataFrame) -> DataFrame:
+    rows = items.select(F.explode(F.concat(F.array("l_partkey"), F.array("l_suppkey")).cast("array<string>")).alias("url"))
     return rows.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -510,10 +529,18 @@ SELECT l_orderkey, greatest(g - (CASE WHEN g > c THEN by_gap ELSE 0 END + rest /
 
 @query(_TRIM_SQL)
 def trim_lengths(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    return _kept_lengths(table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")).drop("l_linenumber")
+
+
+@query()
+def trim_lengths_whole(spark, sf_dir):
+    return _kept_lengths(table(spark, sf_dir, "lineitem"))
+
+
+def _kept_lengths(rows: DataFrame) -> DataFrame:
     fill = lambda n: F.array_repeat(F.lit("x"), n.cast("int"))
     cut = arrays.trimmed(fill(F.col("l_quantity").cast("long") * 20), fill(F.col("l_suppkey") % 700), fill(F.col("l_partkey") % 150))
-    return rows.withColumn("cut", cut).select("l_orderkey", F.size("cut.grounding").cast("long").alias("kept_g"), F.size("cut.context").cast("long").alias("kept_c"))
+    return rows.withColumn("cut", cut).select("l_orderkey", "l_linenumber", F.size("cut.grounding").cast("long").alias("kept_g"), F.size("cut.context").cast("long").alias("kept_c"))
 
 
 _UNIGRAM = r"""

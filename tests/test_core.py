@@ -381,6 +381,31 @@ def test_long_texts_reach_the_operators(spark, tmp_path):
     assert run("stop_token_difference_whole") == sorted((i, w) for i, v in toks.items() if i % 3 for w in set(v) - set(text.STOP_WORDS["en"]))
 
 
+def test_all_rows_reach_the_operators(spark, tmp_path):
+    """The _whole queries by brute force, over rows that the queries with SQL leave out too."""
+    from collections import Counter
+    from hashlib import md5
+
+    from palimpsest.queries import QUERIES
+
+    spark.createDataFrame([(i, f"text {i}") for i in range(25)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(o, n, float(1 + (o * 7 + n * 13) % 50), (o * 131 + n * 17) % 900, (o * 31 + n) % 400) for o in range(12) for n in range(1, 8)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_quantity double, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda name: sorted(tuple(r[c] for c in r.__fields__) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    digest = lambda i: md5(f"text {i}".encode()).hexdigest()
+    names = ("context", "grounding_true", "grounding_false", "target")
+    got = sorted(tuple(r[c] for c in names) for r in QUERIES["counterfactual_explode_whole"](spark, str(tmp_path)).collect())
+    assert got == sorted(x for i in range(24) for x in ((i, digest(i), digest(i + 1), "t"), (i, digest(i + 1), digest(i), "n")))
+    assert run("url_explode_whole") == sorted(Counter(str(k) for r in items for k in (r[4], r[3])).items())
+    want = []
+    for o, n, quantity, supplier, part in items:
+        g, c = int(quantity) * 20, supplier % 700
+        while g + c + part % 150 > 1024:
+            g, c = (g - 1, c) if g > c else (g, c - 1)
+        want.append((o, n, g, c))
+    assert run("trim_lengths_whole") == sorted(want)
+
+
 def test_queries_match_sql(spark):
     """Every query with SQL, over the smallest tables."""
     import os
