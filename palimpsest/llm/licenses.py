@@ -1,11 +1,16 @@
 """Licence scans: normalised text compared with licence templates by the Dice coefficient over word bigrams.
 
-The units compared are the lines of a text, its paragraphs and the whole text: lower case, with letters and digits as
-words. A unit of n bigrams can reach a coefficient of t only with templates of n * t / (2 - t) to n * (2 - t) / t bigrams;
-others are never compared, and units outside all templates' bounds aren't even split. Nor are units compared too few of
+The units compared are the lines of a text, its paragraphs, the whole text, and stretches: runs of words anywhere in the
+text, across lines and paragraphs, that start and end with a bigram of the template. All are in lower case, with letters and
+digits as words. Of a template, only those bigrams' positions are looked at, so a text without a licence costs one pass over
+its words. A stretch within a line that fits the template's bounds itself isn't compared: that line stands for it.
+
+A unit of n bigrams can reach a coefficient of t only with templates of n * t / (2 - t) to n * (2 - t) / t bigrams;
+others are never compared, and lines and paragraphs outside all templates' bounds aren't split as units. Nor are units compared too few of
 whose bigrams any template has. Bigrams are hashed and count as often as they are there. All of it is built-in functions within each row: no shuffle, and memory follows one row.
 """
 
+import math
 import re
 from functools import reduce
 
@@ -61,10 +66,12 @@ def _normalised(text: str) -> Column:
 
 
 def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """df with matches: array of (license, score, unit, line), best first; `line` counts from 1 and is null for longer units.
+    """df with matches: array of (license, score, unit, line), best first; `line` counts from 1 and is null for paragraphs and texts.
 
     Of each unit, the best template is reported, if it reaches the threshold; between equal ones, the first by name. A
-    null or empty text has no matches, nor has a unit of a single word. A column of df called matches is replaced.
+    null or empty text has no matches, nor has a unit of a single word. Of stretches that share words, the one with the best
+    score is reported (then the longest, then the first by name), and none within a reported unit; their line is that of the
+    first word. A column of df called matches is replaced.
     """
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     known = [(name, list(zip(w, w[1:], strict=False))) for name, t in templates if len(w := words_of(t)) > 1]
@@ -76,18 +83,22 @@ def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, threshold: floa
 
     flat = lambda x: F.trim(F.regexp_replace(x, "[ \n]+", " "))
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))  # noqa: E731  one less than words
+    let = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # noqa: E731  f(x), with x evaluated once
     own = common.free_name(df, "own_text")
-    lines = F.transform(F.split(F.col(own), "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), (i + 1).alias("line"), F.trim(x).alias("text")))
-    longer = lambda kind, x: F.struct(F.lit(kind).alias("unit"), F.lit(None).cast("int").alias("line"), flat(x).alias("text"))
+    lines = F.transform(F.split(F.col(own), "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), (i + 1).alias("line"), F.lit(None).cast("int").alias("at"), F.trim(x).alias("text")))
+    longer = lambda kind, x, i: F.struct(F.lit(kind).alias("unit"), F.lit(None).cast("int").alias("line"), i.alias("at"), flat(x).alias("text"))
+    none = F.array().cast("array<struct<unit:string,line:int,at:int,text:string>>")
     parts = F.split(F.col(own), "\n *\n[ \n]*")
-    paragraphs = F.when((F.size(parts) > 1), F.transform(parts, lambda x: longer("paragraph", x))).otherwise(F.array().cast("array<struct<unit:string,line:int,text:string>>"))
-    whole = F.when(F.contains(F.col(own), F.lit("\n")), F.array(longer("text", F.col(own)))).otherwise(F.array().cast("array<struct<unit:string,line:int,text:string>>"))
+    paragraphs = F.when((F.size(parts) > 1), F.transform(parts, lambda x, i: longer("paragraph", x, i))).otherwise(none)
+    whole = F.when(F.contains(F.col(own), F.lit("\n")), F.array(longer("text", F.col(own), F.lit(None).cast("int")))).otherwise(none)
     units = F.filter(F.concat(lines, paragraphs, whole), lambda u: F.exists(F.array(spaces(u["text"])), fits))
 
+    def hashes(x: Column) -> Column:
+        pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.xxhash64(a, b))
+        return let(F.split(x, " "), pairs)
+
     def bigrams(u: Column) -> Column:
-        w = F.split(u["text"], " ")
-        pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.xxhash64(a, b))
-        return F.struct(u["unit"].alias("unit"), u["line"].alias("line"), pairs.alias("b"))
+        return F.struct(u["unit"].alias("unit"), u["line"].alias("line"), u["at"].alias("at"), hashes(u["text"]).alias("b"))
 
     def may_reach(x: Column) -> Column:
         """A unit of n bigrams shares threshold / 2 * (n + low * n) of them with a template at least."""
@@ -104,11 +115,75 @@ def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, threshold: floa
         scored = F.transform(near, lambda t: F.struct(dice(t, x).alias("score"), t["name"].alias("license")))
         first = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["license"] < b["license"], -1).otherwise(1)
         top = F.get(F.array_sort(scored, first), 0)
-        return F.struct(top["license"].alias("license"), top["score"].alias("score"), x["unit"].alias("unit"), x["line"].alias("line"))
-
+        return F.struct(top["license"].alias("license"), top["score"].alias("score"), x["unit"].alias("unit"), x["line"].alias("line"), x["at"].alias("at"))
+
+    hits, seen, fixed = (own + x for x in ("_hits", "_seen", "_fixed"))
+
+    def runs(t: Column) -> Column:
+        """Of each bigram of the template that may start a stretch, the best stretch (first, last: bigrams) that reaches the threshold."""
+        longest, least = F.floor(high * t["n"] + 1e-9).cast("int"), F.ceil(threshold / 2 * (1 + low) * t["n"] - 1e-9).cast("int")
+        nothing = F.array().cast("array<struct<license:string,score:double,first:int,last:int>>")
+
+        def starts(own_hits: Column) -> Column:
+            """Where enough hits for a stretch follow within the length of one."""
+            some = F.transform(own_hits, lambda h, i: F.when(F.get(own_hits, i + least - 1)["p"] < h["p"] + longest, h["p"]))
+            return F.filter(some, lambda p: p.isNotNull())
+
+        def with_before(h: Column, i: Column, near: Column) -> Column:
+            """A hit counts in stretches that start after `before`: the hit by which the template's count of it is used up."""
+            times = F.size(F.filter(t["b"], lambda y: y == h["g"]))
+            earlier = F.filter(F.slice(near, F.greatest(i - longest, F.lit(0)) + 1, F.least(i, longest)), lambda e: e["g"] == h["g"])
+            return F.struct(h["p"].alias("p"), let(earlier, lambda e: F.coalesce(F.get(e, F.size(e) - times)["p"], F.lit(-1))).alias("before"))
+
+        def from_(ready: Column, h: Column, i: Column) -> Column:
+            counted = F.filter(F.slice(ready, i + 1, longest), lambda x: (x["p"] < h["p"] + longest) & (x["before"] < h["p"]))
+            ends = F.transform(counted, lambda x, j: F.struct((2.0 * (j + 1) / (t["n"] + x["p"] - h["p"] + 1)).alias("score"), x["p"].alias("last")))
+            reached = F.filter(ends, lambda x: (x["score"] >= threshold) & ~_same_line(h["p"], x["last"], t["n"]))
+            as_run = lambda top: F.struct(t["name"].alias("license"), top["score"].alias("score"), h["p"].alias("first"), top["last"].alias("last"))
+            return let(F.array_max(reached), as_run)
+
+        def all_from(own_hits: Column, at: Column) -> Column:
+            near = F.filter(own_hits, lambda h: F.exists(at, lambda p: h["p"].between(p, p + longest)))
+            ready = let(near, lambda v: F.transform(v, lambda h, i: with_before(h, i, v)))
+            # No stretch starts where there aren't enough hits.
+            made = let(ready, lambda r: F.transform(r, lambda h, i: F.when(F.array_contains(at, h["p"]), from_(r, h, i))))
+            return F.filter(made, lambda m: m["score"].isNotNull())
+
+        either = lambda v: let(starts(v), lambda at: F.when(F.size(at) > 0, all_from(v, at)).otherwise(nothing))
+        return let(F.filter(F.col(hits), lambda h: F.array_contains(t["kinds"], h["g"])), lambda v: F.when(F.size(v) >= least, either(v)).otherwise(nothing))
+
+    def _same_line(first: Column, last: Column, n: Column) -> Column:
+        at = F.get(F.col(seen), first)
+        return (at == F.get(F.col(seen), last + 1)) & (F.get(F.col(own + "_sizes"), at) - 1 <= high * n)
+
+    def apart(made: Column) -> Column:
+        order_ = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["last"] - a["first"] > b["last"] - b["first"], -1).when(a["last"] - a["first"] < b["last"] - b["first"], 1).when(a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).otherwise(a["first"] - b["first"])
+        meets = lambda kept, m: F.exists(kept, lambda k: (k["first"] <= m["last"] + 1) & (m["first"] <= k["last"] + 1))
+        start = F.array().cast("array<struct<license:string,score:double,first:int,last:int>>")
+        return F.aggregate(F.array_sort(made, order_), start, lambda kept, m: F.when(meets(kept, m), kept).otherwise(F.concat(kept, F.array(m))))
+
+    def inside(m: Column) -> Column:
+        """Whether a reported unit has all of the stretch."""
+        line, part = F.get(F.col(seen), m["first"]), F.get(F.col(own + "_parts"), m["first"])
+        one_line, one_part = line == F.get(F.col(seen), m["last"] + 1), part == F.get(F.col(own + "_parts"), m["last"] + 1)
+        return F.exists(F.col(fixed), lambda u: (u["unit"] == "text") | (u["unit"] == "line") & one_line & (u["line"] == line + 1) | (u["unit"] == "paragraph") & one_part & (u["at"] == part))
+
+    count = lambda x: F.when(F.length(F.trim(x)) > 0, spaces(F.trim(x)) + 1).otherwise(0)
+    spread = lambda sizes: F.flatten(F.transform(sizes, lambda n, i: F.array_repeat(i, n)))
     found = F.filter(F.transform(F.filter(F.transform(units, bigrams), may_reach), best), lambda m: m["score"] >= threshold)
     order = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["line"].isNotNull() & b["line"].isNotNull(), a["line"] - b["line"]).when(a["line"].isNotNull(), -1).when(b["line"].isNotNull(), 1).otherwise(0)
-    return df.drop("matches").withColumn(own, _normalised(text)).withColumn("matches", F.array_sort(found, order)).drop(own)
+    positions = F.filter(F.transform(hashes(flat(F.col(own))), lambda g, i: F.when(g.isin(every), F.struct(i.alias("p"), g.alias("g")))), lambda h: h.isNotNull())
+    scanned = df.drop("matches").withColumn(own, _normalised(text)).withColumn(fixed, found).withColumn(hits, positions)
+    # Where each word is, only for texts that have enough bigrams for some stretch.
+    enough = F.size(hits) >= min(math.ceil(threshold / 2 * (1 + low) * len(b) - 1e-9) for _, b in known) if known else F.lit(False)
+    nowhere = F.array().cast("array<int>")
+    scanned = scanned.withColumn(own + "_sizes", F.when(enough, F.transform(F.split(F.col(own), "\n"), count)).otherwise(nowhere))
+    scanned = scanned.withColumn(seen, spread(F.col(own + "_sizes"))).withColumn(own + "_parts", F.when(enough, spread(F.transform(parts, lambda x: count(flat(x))))).otherwise(nowhere))
+    made = F.filter(F.flatten(F.transform(given, runs)), lambda m: ~inside(m))
+    stretches = F.transform(apart(made), lambda m: F.struct(m["license"].alias("license"), m["score"].alias("score"), F.lit("stretch").alias("unit"), (F.get(F.col(seen), m["first"]) + 1).alias("line")))
+    units_ = F.transform(fixed, lambda m: F.struct(m["license"].alias("license"), m["score"].alias("score"), m["unit"].alias("unit"), m["line"].alias("line")))
+    every_one = F.concat(units_, F.when(enough, stretches).otherwise(F.array().cast("array<struct<license:string,score:double,unit:string,line:int>>")))
+    return scanned.withColumn("matches", F.array_sort(every_one, order)).drop(own, fixed, hits, seen, own + "_sizes", own + "_parts")
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -131,6 +131,49 @@ def test_licenses_by_brute_force(spark):
         assert (got[i] is None) == (best[0] < licenses.THRESHOLD) and (got[i] is None or got[i][1] == round(best[0], 9))
 
 
+def best_stretch(text):
+    """(score, line) of the best run of words anywhere but within a line of the template's bounds, over all runs."""
+    words = [(w, i) for i, x in enumerate(text.split("\n")) for w in licenses.words_of(x)]
+    in_line, best = Counter(i for _, i in words), None
+    pairs = [(a[0], b[0]) for a, b in zip(words, words[1:])]
+    ratio = (2 - licenses.THRESHOLD) / licenses.THRESHOLD
+    for _, t in licenses.TEMPLATES:
+        w = licenses.words_of(t)
+        known = Counter(zip(w, w[1:]))
+        n = len(w) - 1
+        for a in range(len(pairs)):
+            count, shared = Counter(), 0
+            for b in range(a, min(len(pairs), a + int(ratio * n))):
+                count[pairs[b]] += 1
+                shared += count[pairs[b]] <= known[pairs[b]]
+                line = words[a][1]
+                score = 2 * shared / (n + b - a + 1)
+                if score >= licenses.THRESHOLD and not (line == words[b + 1][1] and in_line[line] - 1 <= ratio * n) and score > (best or (0,))[0]:
+                    best = (score, line + 1)
+    return best
+
+
+def test_license_stretches(spark):
+    """Licences of several paragraphs in longer documents, and notices in mid-line."""
+    rnd = random.Random(11)
+    own = {name: t for name, t in reversed(licenses.TEMPLATES) if len(t) > 300}
+    mit = own["MIT"].replace(": The above", ":\n\nThe above").replace(". The software is", ".\n\nThe software is")
+    gpl = own["GPL-3.0-or-later"].replace("version. This", "version.\n#\n# This").replace("General Public License for", "General\n# Public License for")
+    around = lambda t: f"{prose(rnd, 80)}\n\n{prose(rnd, 40)}\n{t}\n\n{prose(rnd, 200)}\n"
+    texts = [
+        around(mit), around("# " + gpl), around(own["BSD-3-Clause"].replace(": 1. ", ":\n\n1. ").replace(". 2. ", ".\n\n2. ").replace(". 3. ", ".\n\n3. ")),
+        "Copyright 2024 Example. All rights reserved.", "Copyright 2024 Example all rights reserved by us and others", f"{prose(rnd, 30)} Released under the MIT License. {prose(rnd, 30)}",
+        around(mit.replace("software", "program", 2)), around(own["MIT"][:400]), prose(rnd, 900), "rights all. Reserved are\nall the rights", around(own["ISC"].replace(". ", ".\n\n")),
+    ]
+    got = [r.matches for r in licenses.scan(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    assert [[m.license for m in v] for v in got] == [["MIT"], ["GPL-3.0-or-later"], ["BSD-3-Clause"], *[["LicenseRef-All-rights-reserved"]] * 2, ["MIT"], ["MIT"], [], [], [], ["ISC"]]
+    for t, v in zip(texts, got, strict=True):
+        assert [(round(m.score, 9), m.line) for m in v] == ([(round((b := best_stretch(t))[0], 9), b[1])] if best_stretch(t) else [])
+        assert all(m.unit == "stretch" for m in v)
+    two = licenses.scan(docs_of(spark, [(1, "By A, all rights reserved, and by B, all rights reserved.\nAll rights reserved.", "s")])).first().matches
+    assert [(m.unit, m.line) for m in two] == [("stretch", 1), ("stretch", 1), ("line", 2)]
+
+
 # line dedup
 
 
