@@ -630,7 +630,7 @@ def ablation_end_to_end(spark, sf_dir):
 
 @query()
 def document_languages(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("length(text) > 1000 AND lang IN ('de', 'en', 'es', 'fr')").select("doc_id", text.language(F.col("text")).alias("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.language(F.col("text")).alias("lang"))
 
 
 @query("SELECT c.conv_id, c.turn, coalesce((SELECT max(p.turn) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn AND p.role = 'user'), -1) AS before, coalesce((SELECT min(p.turn) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn > c.turn AND p.role = 'user'), -1) AS after FROM conversations c")

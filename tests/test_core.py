@@ -406,6 +406,17 @@ def test_all_rows_reach_the_operators(spark, tmp_path):
     assert run("trim_lengths_whole") == sorted(want)
 
 
+def test_languages_of_all_documents(spark, tmp_path):
+    """Short, empty and null texts and rows of any lang have a row each; the clear cases their language."""
+    from palimpsest.queries import QUERIES
+
+    clear = [(i, " ".join(v[:40]), lang) for i, (lang, v) in enumerate(sorted(text.STOP_WORDS.items()))]
+    rows = [*clear, (10, None, "en"), (11, "", None), (12, "the", "xx"), (13, "zzz 123", "de"), (14, "the stone and the river", None), (15, "der Stein und der Fluss " * 100, "??")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.lang for r in QUERIES["document_languages"](spark, str(tmp_path)).collect()}
+    assert got == {i: lang for i, _, lang in clear} | {10: None, 11: None, 12: "en", 13: None, 14: "en", 15: "de"}
+
+
 def test_queries_match_sql(spark):
     """Every query with SQL, over the smallest tables."""
     import os
