@@ -297,7 +297,15 @@ SELECT conv_id, turn, CASE WHEN regexp_matches(c, '^/\*(.+)\*/(.*)$') THEN trim(
        md5(CASE WHEN regexp_matches(c, '^/\*(.+)\*/(.*)$') THEN trim(regexp_extract(c, '^/\*(.+)\*/(.*)$', 2)) ELSE c END) AS rest FROM c
 """)
 def section_title(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter(~F.contains("text", F.lit("\n")) & ~F.contains("text", F.lit("&")))
+    return _section_titles(table(spark, sf_dir, "conversations").filter(~F.contains("text", F.lit("\n")) & ~F.contains("text", F.lit("&"))))
+
+
+@query()
+def section_title_whole(spark, sf_dir):
+    return _section_titles(table(spark, sf_dir, "conversations"))
+
+
+def _section_titles(rows: DataFrame) -> DataFrame:
     comment = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("/* "), "role", F.lit(" */ "), "text")).otherwise(F.col("text"))
     found = rows.withColumn("t", text.section_title(comment))
     return found.select("conv_id", "turn", F.col("t.title").alias("title"), F.md5(F.col("t.rest").cast("binary")).alias("rest"))
@@ -465,7 +473,15 @@ def token_context(spark, sf_dir):
 
 @query("SELECT conv_id, turn, CAST(len(string_split(trim(text), ' ')) >= 8 AND NOT contains(text, 'Undid revision') AS BOOLEAN) AS accepted, (turn % 4 = 0 OR turn % 4 > 2 OR NOT starts_with(trim(text), '/*') OR ends_with(trim(text), '*/') OR regexp_matches(text, '(?i)(revert|undo|undid)')) AS rejected FROM conversations WHERE NOT regexp_matches(text, '[\\t\\r\\n\\x0b\\x0c]|  ') AND length(text) > 0")
 def comment_checks(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter(~F.regexp_like("text", F.lit("[\t\r\n\x0b\x0c]|  ")) & (F.length("text") > 0))
+    return _comment_checks(table(spark, sf_dir, "conversations").filter(~F.regexp_like("text", F.lit("[\t\r\n\x0b\x0c]|  ")) & (F.length("text") > 0)))
+
+
+@query()
+def comment_checks_whole(spark, sf_dir):
+    return _comment_checks(table(spark, sf_dir, "conversations"))
+
+
+def _comment_checks(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", filters.comment_accepted(8, "text").alias("accepted"), filters.comment_rejected(F.col("text"), F.col("turn") % 4, 2).alias("rejected"))
 
 

@@ -417,6 +417,32 @@ def test_languages_of_all_documents(spark, tmp_path):
     assert got == {i: lang for i, _, lang in clear} | {10: None, 11: None, 12: "en", 13: None, 14: "en", 15: "de"}
 
 
+def test_all_comments_reach_the_operators(spark, tmp_path):
+    """The _whole queries by brute force, over comments of several lines, with entities and with empty tokens."""
+    import re
+    from hashlib import md5
+
+    from palimpsest.queries import QUERIES
+
+    texts = ["plain", "", "/* a */ b &amp; c &lt;d&gt;", "one\ntwo", "/* x */ first\nsecond", "a  b c   d e f g  h", "a\tb\nc d e f g h", "  a b c d e f g  ", "/* t */ Undid revision 5 of a b c d", "x &nbsp; y"]
+    rows = [(c, turn, "user", x) for c, x in enumerate(texts) for turn in range(1, 5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    titles, checks = [], []
+    for c, turn, role, x in rows:
+        comment = f"/* {role} */ {x}" if turn % 2 == 0 else x
+        m = re.search(r"^/\*(.+)\*/(.*)$", comment)
+        rest = m.group(2).strip(" ") if m else comment
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\xa0"), ("&amp;", "&")) if m else ():
+            rest = rest.replace(entity, char)
+        titles.append((c, turn, m.group(1).strip(" ") if m else "", md5((rest.strip(" ") if m else rest).encode()).hexdigest()))
+        bare = x.strip(" ")
+        rejected = turn % 4 == 0 or turn % 4 > 2 or not bare.startswith("/*") or bare.endswith("*/") or bool(re.search("(?i)revert|undo|undid", bare))
+        checks.append((c, turn, len(x.split()) >= 8 and "Undid revision" not in x, rejected))
+    run = lambda name: sorted(tuple(r[c] for c in r.__fields__) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert run("section_title_whole") == sorted(titles)
+    assert run("comment_checks_whole") == sorted(checks)
+
+
 def test_queries_match_sql(spark):
     """Every query with SQL, over the smallest tables."""
     import os
