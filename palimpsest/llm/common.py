@@ -57,6 +57,30 @@ def clear_tables() -> None:
 atexit.register(clear_tables)
 
 
+def tables_so_far() -> int:
+    return len(_written)
+
+
+def only(df: DataFrame, since: int) -> DataFrame:
+    """df as a table, and no other of those that were written after the first `since`: what led to df is deleted."""
+    out = materialize(df)
+    last = _written.pop()
+    while len(_written) > since:
+        _remove(*_written.pop())
+    _written.append(last)
+    tidy(df.sparkSession)
+    return out
+
+
+def tidy(spark: SparkSession) -> None:
+    """Collect garbage on the driver: executors then drop the broadcasts and shuffles that nothing refers to any more.
+
+    A long run of small jobs else fills their memory with those, as the driver collects too seldom by itself.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def compact(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     """df dealt to no more partitions than its size needs (64 MB each), but as many as there are cores: fewer tiny files.
 
