@@ -133,9 +133,16 @@ def cube_flight(p: list[float], x: list[tuple[float, ...]], draw: random.Random,
     return p
 
 
+def _in_order(rows: pd.DataFrame, first: list[str]) -> pd.DataFrame:
+    """rows in an order that doesn't depend on how they came, larger ones first."""
+    rest = [c for c in rows.columns if c.startswith("keep_")]
+    by = [*first, "size", "doc_id", "p", *rest]
+    return rows.sort_values(by, ascending=[c != "size" for c in by], kind="stable").reset_index(drop=True)
+
+
 def _fly(seed: int, level: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id", "p"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        rows = _in_order(rows, [])
         rows["p"] = cube_flight(rows["p"].tolist(), [(1.0, float(s)) for s in rows["size"]], random.Random(f"{seed}/{level}/{key}"))
         return rows
 
@@ -146,7 +153,7 @@ def _land(seed: int):
     """Of one source: what its flights left lands, then its reserve makes up for the words that took or gave."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["reserve", "size", "doc_id", "p"], ascending=[True, False, True, True], kind="stable").reset_index(drop=True)
+        rows = _in_order(rows, ["reserve"])
         draw = random.Random(f"{seed}/landing/{key}")
         p, size, n = rows["p"].tolist(), rows["size"].tolist(), int((~rows["reserve"]).sum())
         x = [(1.0, float(s)) for s in size]
@@ -193,12 +200,15 @@ def balanced_sample(rows: DataFrame, seed: int = 0, block_rows: int = BLOCK_ROWS
     return out.drop("blocks", "block", "reserve")
 
 
-def mix(rows: DataFrame, seed: int = 0, local_sources: int = LOCAL_SOURCES) -> DataFrame:
+def mix(rows: DataFrame, seed: int = 0, local_sources: int = LOCAL_SOURCES, keep: list[str] | None = None) -> DataFrame:
     """rows (doc_id, source, size) with source_size, target and copies (0, 1 or 2): how often the mix takes each.
 
-    A source without words has target 0 and is taken 0 times. An empty input gives an empty result.
+    A null size counts as 0. A source without words has target 0 and is taken 0 times. An empty input gives an empty result.
+    Repeated rows are drawn each by itself. Other columns of rows are left out, but for integers named in `keep`.
     """
-    table = common.materialize(rows.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")))
+    of_row = [F.col(c).cast("long").alias(f"keep_{i}") for i, c in enumerate(keep or [])]
+    back = [F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep or [])]
+    table = common.materialize(rows.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *of_row))
     sizes = common.materialize(table.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")))
     targets, small = source_targets(sizes, local_sources)
     targets = targets.withColumnRenamed("source", "of_source")
@@ -207,22 +217,32 @@ def mix(rows: DataFrame, seed: int = 0, local_sources: int = LOCAL_SOURCES) -> D
     part = joined.withColumn("base", F.floor(ratio + _EPS).cast("long")).withColumn("p", F.greatest(ratio - F.col("base"), F.lit(0.0)))
     part = part.withColumn("p", F.when(F.col("p") < _EPS, 0.0).otherwise(F.col("p")))
     drawn = balanced_sample(part.filter("p > 0"), seed)
-    return part.filter("p = 0").unionByName(drawn).select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("copies"))
+    return part.filter("p = 0").unionByName(drawn).select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("copies"), *back)
+
+
+def _row_hashes(df: DataFrame) -> list:
+    """Two 64-bit hashes of whole rows; maps, which have no order, go in as JSON."""
+    values = [F.to_json(c.name) if "map<" in c.dataType.simpleString() else F.col(c.name) for c in df.schema]
+    return [F.xxhash64(F.lit(k), *values) for k in range(2)]
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """docs mixed: each row as often as mix() takes it, with docs' columns (doc_id, source, text and any others).
 
-    Rows with one doc_id and size share their number of copies.
+    Rows are told apart by hashes of all their columns; rows that are equal in all are taken as often as mix() takes them
+    together. A null text has no words, and is taken as a row of that size. An empty input gives an empty result.
     """
-    own = common.free_name(docs, "own_size")
-    sized = docs.withColumn(own, word_count())
-    taken = mix(sized.select("doc_id", "source", F.col(own).alias("size")), seed)
-    n = common.free_name(docs, "own_copies")
-    copies = taken.groupBy(F.col("doc_id").alias("of_id"), F.col("size").alias("of_size"), F.col("source").alias("of_source")).agg(F.max("copies").alias(n))
-    on = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col(own) == F.col("of_size")) & F.col("source").eqNullSafe(F.col("of_source"))
-    joined = sized.join(copies.filter(F.col(n) > 0), on)
-    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    size, x, y, n, m = (common.free_name(docs, f"own_{c}") for c in ("size", "x", "y", "copies", "rows"))
+    keyed = docs.select("*", *[h.alias(c) for c, h in zip((x, y), _row_hashes(docs), strict=True)])
+    drawn = mix(keyed.select("doc_id", "source", word_count().alias("size"), x, y), seed, keep=[x, y])
+    counts = drawn.groupBy(x, y).agg(F.count(F.lit(1)).alias(m), F.sum("copies").alias(n)).filter(F.col(n) > 0)
+    counts = common.materialize(counts)
+    total = int(counts.agg(F.coalesce(F.sum(m), F.lit(0))).first()[0])
+    taken = common.join_counted(keyed, counts, [x, y], m, total)
+    if counts.filter(F.col(m) > 1).limit(1).count():
+        equal = taken.filter(F.col(m) > 1).groupBy(x, y).agg(F.first(F.struct(*docs.columns)).alias(size), F.first(n).alias(n))
+        taken = taken.filter(F.col(m) == 1).select(*docs.columns, n).unionByName(equal.select(f"{size}.*", n))
+    return taken.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
