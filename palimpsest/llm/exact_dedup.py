@@ -4,7 +4,7 @@ Pass 1 counts text hashes into the cells of a Bloom filter, saturating at two. P
 was hit once is the only one of its text and passes straight through; only the others shuffle, and exact hashes decide.
 
 The filter has 16 cells a row up to MAX_CELLS; beyond, more rows shuffle, and the result stays exact. Its cells are
-merged in segments, so that no task gets more than its segments' share; what the driver collects and broadcasts is one
+merged in segments, a bounded number of tasks' counts at a time; what the driver collects and broadcasts is one
 bit a cell, MAX_CELLS / 8 bytes at most (32 MB).
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from . import common
 
 MAX_CELLS = 1 << 28
 SEGMENT = 1 << 16
+#: So many tasks' counts of a segment are merged at a time.
+FAN_IN = 256
 CELLS_PER_ROW = 16
 
 
@@ -35,6 +38,14 @@ def _cells(column: pa.Array, n_cells: int) -> np.ndarray:
     return (words[:, :2] & np.uint64(n_cells - 1)).astype(np.int64)
 
 
+def _hits(segment: int, part: int, cells: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    """The cells of a segment that were hit, and whether each was hit more than once."""
+    return pa.RecordBatch.from_pydict({
+        "segment": pa.array([segment], pa.int32()), "part": pa.array([part], pa.int32()),
+        "cells": pa.array([cells.astype("<u2").tobytes()], pa.binary()), "more": pa.array([np.packbits(more).tobytes()], pa.binary()),
+    })
+
+
 def _counted(n_cells: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
@@ -47,39 +58,45 @@ def _counted(n_cells: int):
             return
         cells, n = np.unique(np.concatenate(found), return_counts=True)
         cells, n = cells[cells >= 0], n[cells >= 0]
-        segment = cells // SEGMENT
+        segment, part = cells // SEGMENT, TaskContext.get().partitionId()
         starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(cells) else []
         for a, b in zip(starts, [*starts[1:], len(cells)], strict=True):
-            yield pa.RecordBatch.from_pydict({
-                "segment": pa.array([int(segment[a])], pa.int32()),
-                "cells": pa.array([(cells[a:b] % SEGMENT).astype("<u2").tobytes()], pa.binary()),
-                "more": pa.array([np.packbits(n[a:b] > 1).tobytes()], pa.binary()),
-            })
+            yield _hits(int(segment[a]), part, cells[a:b] % SEGMENT, n[a:b] > 1)
 
     return count
 
 
-def _merged(hits: int):
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        seen, again = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
-        for cells, more in zip(rows["cells"], rows["more"], strict=True):
-            at = np.frombuffer(cells, "<u2")
-            again[at] |= seen[at] | np.unpackbits(np.frombuffer(more, np.uint8), count=len(at)).astype(bool)
-            seen[at] = True
-        return pd.DataFrame({"segment": rows["segment"].iloc[:1], "bits": [np.packbits(again if hits > 1 else seen).tobytes()]})
+def _merged(rows: pa.Table) -> pa.Table:
+    """The hits of several parts of a segment as those of one."""
+    seen, again = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
+    for cells, more in zip(rows.column("cells").to_pylist(), rows.column("more").to_pylist(), strict=True):
+        at = np.frombuffer(cells, "<u2")
+        again[at] |= seen[at] | np.unpackbits(np.frombuffer(more, np.uint8), count=len(at)).astype(bool)
+        seen[at] = True
+    at = np.flatnonzero(seen)
+    return pa.Table.from_batches([_hits(rows.column("segment")[0].as_py(), rows.column("part")[0].as_py(), at, again[at])])
 
-    return merge
 
+def hit_filter(hashes: DataFrame, rows: int, hits: int = 2, max_cells: int = MAX_CELLS, fan_in: int = FAN_IN) -> np.ndarray:
+    """Pass 1 over one binary column of SHA-256: the packed bits of the cells that were hit at least `hits` (1 or 2) times.
 
-def hit_filter(hashes: DataFrame, rows: int, hits: int = 2, max_cells: int = MAX_CELLS) -> np.ndarray:
-    """Pass 1 over one binary column of SHA-256: the packed bits of the cells that were hit at least `hits` (1 or 2) times."""
+    What the tasks counted is merged level by level, fan_in tasks to one, so no group grows with the number of tasks.
+    """
     n_cells = SEGMENT
     while n_cells < min(rows * CELLS_PER_ROW, max_cells):
         n_cells *= 2
-    bits = np.zeros(n_cells // 8, np.uint8)
-    counted = hashes.mapInArrow(_counted(n_cells), "segment int, cells binary, more binary")
-    for row in counted.groupBy("segment").applyInPandas(_merged(hits), "segment int, bits binary").toLocalIterator():
-        bits[row.segment * SEGMENT // 8 : (row.segment + 1) * SEGMENT // 8] = np.frombuffer(row.bits, np.uint8)
+    bits, parts = np.zeros(n_cells // 8, np.uint8), hashes.rdd.getNumPartitions()
+    form = "segment int, part int, cells binary, more binary"
+    counted = hashes.mapInArrow(_counted(n_cells), form)
+    while parts > 1:
+        counted = counted.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).groupBy("segment", "part").applyInArrow(_merged, form)
+        parts = -(-parts // fan_in)
+    for row in counted.toLocalIterator():
+        at = np.frombuffer(row.cells, "<u2")
+        more = np.unpackbits(np.frombuffer(row.more, np.uint8), count=len(at)).astype(bool)
+        own = np.zeros(SEGMENT, bool)
+        own[at[more] if hits > 1 else at] = True
+        bits[row.segment * SEGMENT // 8 : (row.segment + 1) * SEGMENT // 8] = np.packbits(own)
     return bits
 
 
