@@ -5,7 +5,7 @@ several), and each distinct paragraph gets a 64-bit digest. A sketch has cells w
 the XOR of their check hashes; each digest is in three cells. Sketches of two versions subtract cell by cell: what is in
 both cancels out, and peeling (a cell that holds one digest gives it, and it leaves its other cells) recovers the digests
 in one version only. The fingerprint is the sketch of CELLS cells. If peeling the difference of two fingerprints fails,
-larger sketches follow: as many segments, by digest, as keep some KEYS digests in each, each a single cell at first; for
+larger sketches of the texts follow: as many segments, by digest, as keep some KEYS digests in each, each a single cell at first; for
 one that fails, SEGMENT_CELLS cells, then twice, four and eight times as many; should that fail too, its digests are compared one by one.
 
 All of it is built-in functions within a row; the next document's text comes by one shuffle of ranges of doc_id.
@@ -145,45 +145,57 @@ def likeness(n_a: Column, n_b: Column, diff: Column) -> Column:
 
 
 def shown(cells: Column) -> Column:
-    """A sketch as text: each cell's count and the 16 hexadecimal digits of its digests' XOR."""
-    return F.array_join(F.transform(cells, lambda c: F.concat(c["n"].cast("string"), F.lit(":"), F.lower(F.lpad(F.hex(c["k"]), 16, "0")))), " ")
+    """A sketch as text: each cell's count and the hexadecimal digits (16 each) of the XOR of its digests and of their check hashes.
+
+    That is all that peeling needs: two such texts can be subtracted and peeled.
+    """
+    digits = lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))
+    return F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c["n"].cast("string"), digits(c["k"]), digits(c["c"]))), " ")
+
+
+def read_sketch(text: Column) -> Column:
+    """The cells of a fingerprint as shown() writes it."""
+    long = lambda x: F.conv(x, 16, -10).cast("long")
+    return F.transform(F.split(text, " "), lambda x: let(F.split(x, ":"), lambda p: _cell(F.get(p, 0), long(F.get(p, 1)), long(F.get(p, 2)))))
 
 
 def with_next(df: DataFrame, doc_id: str, text: str, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """df with `out`: the text of the row after it by doc_id (nulls first, then text), for the last row the first one's.
+    """df with `out`: the text of the row after it by doc_id (nulls first, then by a hash of the text), for the last row the first one's.
 
-    Rows are dealt to ranges of doc_id between sampled bounds; the first doc_id of each range, whose rows also go to the
-    range before, comes to the driver: MAX_RANGES numbers at most.
+    Rows are dealt to ranges of (doc_id, hash) between bounds, so rows of one doc_id or none spread as well; only repeated
+    rows stay together. Spark's range partitioner finds the bounds from a sample. Each is the first row of its range, which
+    also goes to the range before; they come to the driver, 16 bytes each: a range has range_rows rows, or more so that there
+    are MAX_RANGES at most. An empty df gives an empty result; a column called `out` is replaced.
     """
-    own = [common.free_name(df, x) for x in ("own_range", "own_copy")]
-    ids = df.select(F.col(doc_id).cast("long").alias("id"))
-    n, lowest, nulls = ids.agg(F.count(F.lit(1)), F.min("id"), F.count_if(F.col("id").isNull())).first()
+    span, at, low, h = (common.free_name(df, x) for x in ("own_range", "own_copy", "own_id", "own_hash"))
+    keyed = df.withColumn(low, F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))).withColumn(h, F.xxhash64(common.text_or_empty(text)))
+    n = df.count()
     ranges = int(min(MAX_RANGES, n // range_rows + 1))
-    bounds: list = []
-    if lowest is not None:
-        wanted = [k / ranges for k in range(1, ranges)]
-        found = ids.agg(F.percentile_approx("id", F.array(*[F.lit(x) for x in wanted]), 100 * ranges)).first()[0] if wanted else []
-        bounds = sorted({lowest, *found})
-    given = F.array(*[F.lit(b) for b in bounds]).cast(_NO_LONGS)
-    place = F.when(F.col(doc_id).isNull(), F.lit(0)).otherwise(_below(F.col(doc_id).cast("long"), bounds))
-    opens = F.col(doc_id).isNull() if nulls else F.lit(False)
-    before = F.when(F.array_contains(given, F.col(doc_id).cast("long")) if bounds else F.lit(False), F.when(place > 0, place - 1).otherwise(F.lit(None) if nulls else F.lit(max(0, len(bounds) - 1)))).otherwise(F.when(opens, F.lit(max(0, len(bounds) - 1))))
-    spots = F.filter(F.array(F.struct(place.cast("int").alias("at"), F.lit(0).alias("copy")), F.struct(before.cast("int").alias("at"), F.lit(1).alias("copy"))), lambda s: s["at"].isNotNull())
-    dealt = df.withColumn(own[0], F.explode(spots)).withColumn(own[1], F.col(f"{own[0]}.copy")).withColumn(own[0], F.col(f"{own[0]}.at"))
-    after = Window.partitionBy(own[0]).orderBy(own[1], F.col(doc_id).asc_nulls_first(), F.col(text).asc_nulls_first())
-    dealt = dealt.withColumn(out, F.lead(F.coalesce(text, F.lit(""))).over(after)).filter(F.col(own[1]) == 0).drop(*own)
+    firsts = keyed.select(low, h).repartitionByRange(ranges, low, h).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(low, h)).alias("first"))
+    bounds = sorted(tuple(r.first) for r in firsts.select("first").collect()) or [(0, 0)]
+    given = let(F.lit([i for i, _ in bounds]), lambda ids: F.struct(ids.alias("ids"), F.lit([x for _, x in bounds]).alias("hashes")))
+    place = _place(F.col(low), F.col(h), given, len(bounds))
+    opens = let(given, lambda g: (F.get(g["ids"], F.col(span)) == F.col(low)) & (F.get(g["hashes"], F.col(span)) == F.col(h)))
+    before = F.pmod(F.col(span) - 1, F.lit(len(bounds)))
+    spots = F.when(opens, F.array(F.struct(F.col(span).alias("at"), F.lit(0).alias("copy")), F.struct(before.alias("at"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct(F.col(span).alias("at"), F.lit(0).alias("copy"))))
+    dealt = keyed.withColumn(span, place).withColumn(at, F.explode(spots)).withColumn(span, F.col(f"{at}.at")).withColumn(at, F.col(f"{at}.copy"))
+    after = Window.partitionBy(span).orderBy(at, low, h)
+    dealt = dealt.withColumn(out, F.lead(F.coalesce(text, F.lit(""))).over(after)).filter(F.col(at) == 0).drop(span, at, low, h)
     return dealt.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, n // TASK_ROWS))
 
 
-def _below(x: Column, bounds: list) -> Column:
-    """The number of the last bound that isn't over x, by halving; the bounds stay part of the plan."""
-    def search(a: int, b: int) -> Column:
-        if b - a <= 1:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(x < F.lit(bounds[m]), search(a, m)).otherwise(search(m, b))
+def _place(x: Column, h: Column, given: Column, n: int) -> Column:
+    """The number of the last of n bounds (ids, hashes) that isn't over (x, h), by halving."""
+    def step(g: Column):
+        def further(a: Column, width: Column) -> Column:
+            i = a + width
+            fits = (i < n) & ((F.get(g["ids"], i) < x) | ((F.get(g["ids"], i) == x) & (F.get(g["hashes"], i) <= h)))
+            return F.when(fits, i).otherwise(a)
+
+        return further
 
-    return search(0, max(1, len(bounds)))
+    widths = [1 << k for k in range(max(1, n.bit_length()) - 1, -1, -1)]
+    return let(given, lambda g: F.aggregate(F.lit(widths), F.lit(0), step(g)))
 
 
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
