@@ -132,7 +132,8 @@ def pack(df: DataFrame, seq_len: int = SEQ_LEN, path: str | None = None, pattern
 
     ids and positions are unsigned 16-bit integers if the vocabulary and seq_len allow, else 32-bit; ids past n_tokens are
     pad. A document without tokens (null or empty text) is in no row. Repeated documents are packed as often as they are
-    there; null doc_ids stay null. Rows depend on the documents alone, not on df's partitions.
+    there; null doc_ids stay null, and their segments are dealt by their ids. Rows depend on the documents alone, not on df's
+    partitions.
     """
     ranks = read_ranks(path or public_tokenizers.path(RANKS))
     kind = "<u2" if max([*ranks.values(), pad, seq_len]) < 1 << 16 else "<u4"
@@ -140,7 +141,7 @@ def pack(df: DataFrame, seq_len: int = SEQ_LEN, path: str | None = None, pattern
     blocks = (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // block_bytes + 1
     sent = df.sparkSession.sparkContext.broadcast(ranks)
     cutup = common.to_python(docs).mapInArrow(_segments(sent, pattern, seq_len, kind), "doc_id long, piece int, n int, ids binary")
-    dealt = cutup.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
+    dealt = cutup.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(blocks)).cast("int"))
     return dealt.groupBy("block").applyInArrow(_pack(seq_len, kind, pad), PACKED)
 
 
@@ -168,4 +169,4 @@ def unpack(packed: DataFrame, wide: bool = False) -> DataFrame:
 
 def op9_pack_tokens(spark, sf_dir: str) -> DataFrame:
     rows = pack(common.documents(spark, sf_dir))
-    return rows.select("block", "row", "n_tokens", F.size("doc_ids").alias("n_segments"), "doc_ids", "pieces", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
+    return rows.select("block", "row", "n_tokens", F.size("doc_ids").alias("n_segments"), "doc_ids", "pieces", "cu_seqlens", "ids", "positions")
