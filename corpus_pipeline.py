@@ -46,8 +46,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents; each stage's result is a table in the shared folder."""
-    docs = common.documents(spark, sf_dir)
+    """STAGES applied to documents; each stage's result is a table in the shared folder, and the only one that is left of it."""
+    docs, since = common.documents(spark, sf_dir), common.tables_so_far()
     for _, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir))
+        docs = common.only(stage(spark, docs, sf_dir), since)
     return STAGES[-1][1](spark, docs, sf_dir)
