@@ -5,18 +5,16 @@
    a register keeps its first arrival. Registers agree with the probability Jaccard similarity of the weighted shingle
    sets (with unit weights, the plain Jaccard similarity). A shingle's process ends as soon as its arrivals come after
    the last register's, so long texts cost about two arrivals a shingle.
-3. Banding: texts that agree on all registers of a band share a bucket. In each bucket, every text is paired with two
-   leaders, not with every other.
-4. Pairs whose signatures allow the threshold are verified on whole texts.
-5. A text that isn't linked to its bucket's leader may still be to another member. So those whose estimate for the leader
-   is too low for a link, and that aren't in its class, are compared with the others of the bucket: a text that is far from
-   the leader can't be linked to one that may be linked to it (Jaccard distance is a metric, and two texts that are linked
-   share too many registers to differ so in their estimates), so it meets only the others that are far; one nearer meets
-   all members. Large buckets are first split, DEPTH times, by what their texts share in further bands; what is still large
-   is compared in blocks of signatures, from which only pairs come that join families. A family is a component of pairs
-   that may be links; texts of a family that are not in one class yet are compared in blocks, and only verified links that
-   join classes leave a block.
-6. Connected components of the links, by least labels and pointer jumping.
+3. Banding: texts that agree on all registers of a band share a bucket. Of buckets with the same members, one is kept. Every
+   text is paired with two leaders of its bucket, not with every other; pairs whose signatures allow the threshold are
+   verified on whole texts. Connected components of the links are the classes so far.
+4. In a bucket of several classes, the texts outside its largest class meet all others, by signatures, in blocks of at most
+   BLOCK by BLOCK rows; from a block come only pairs that join classes. Where more than BLOCK texts are outside, the bucket
+   is first split by what its texts share in further bands, and step 3 is done again (DEPTH times).
+5. A family is a component of pairs that may be links by their signatures. Of a family with several classes, the texts outside
+   the largest class meet all others in blocks again, now with their texts: verified links that join classes leave a block.
+   So of all pairs that share a bucket, those whose estimate allows a link are either verified or in one class anyway.
+6. Connected components of the links.
 
 Hot buckets and leaders are split or broadcast within bounds; nothing of the size of the corpus goes to the driver.
 """
@@ -37,20 +35,18 @@ from .common import release, slices
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
-#: Estimated similarities from which a pair is verified, and from which it is too near to be ruled out by the metric;
-#: four and more standard errors below 0.8 and 0.6.
-VERIFY, NEAR = 0.62, 0.40
-#: Open texts of a bucket are compared with each other up to this many (and those near the leader with all of a larger
-#: bucket if they are few); more are split by a further band, and then compared in blocks.
-FAR_TEXTS = 32
-FEW_NEAR = 3
-DEPTH = 1
-#: Rows of a block that is compared with another.
+#: Estimated similarity from which a pair is verified: more than four standard errors below the threshold.
+VERIFY = 0.62
+#: Rows of a block that is compared with another; buckets with more texts outside their largest class are split first.
 BLOCK = 512
+#: How often such buckets are split by a further band.
+DEPTH = 1
 #: Pairs of one leader in a task.
 LEADER_PAIRS = 1000
 #: Up to so many row numbers (8 bytes each, counted first) are broadcast.
 BROADCAST_UIDS = 100_000
+#: Up to so many edges (16 bytes each) are one task's.
+LOCAL_EDGES = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -182,73 +178,120 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
-def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, bool]:
-    """The two blocks of a group of rows, their signatures as matrices, and whether they are one block."""
-    at = rows["at"].iloc[0]
-    x, y = (rows[rows["part"] == k].sort_values("uid").reset_index(drop=True) for k in (at["i"], at["j"]))
-    a, b = (np.frombuffer(b"".join(r["sig"]), "<u2").reshape(len(r), -1) for r in (x, y))
-    return x, y, a, b, at["i"] == at["j"]
+def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each run of equal integers `by`, in rows that are sorted by them, as one batch."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in by])
+        start = 0
+        for end in (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist():
+            yield rows.slice(start, end - start)
+            start = end
+        held = rows.slice(start)
+    if held is not None and held.num_rows:
+        yield held
+
+
+class _Block:
+    """Rows of one block: texts outside the largest class (`outer`), and those they meet (`inner`), by places in the block."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        outer = rows.column("outer").to_numpy(zero_copy_only=False)
+        self.uid, self.class_ = (rows.column(c).to_numpy() for c in ("uid", "class_"))
+        self.sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(len(outer), -1)
+        self.outer, self.inner = np.flatnonzero(outer), np.flatnonzero(~outer)
+        # Two texts that are both outside the largest class meet once.
+        self.alone = self.class_[self.inner] == rows.column("main").to_numpy()[self.inner]
+        self.root = np.unique(self.class_, return_inverse=True)[1]
+
+    def likely(self) -> Iterator[tuple[int, int]]:
+        """Places of pairs whose estimate allows a link and whose roots differ when they come."""
+        for k in self.outer.tolist():
+            far = (self.root[self.inner] != self.root[k]) & (self.alone | (self.uid[self.inner] < self.uid[k]))
+            some = self.inner[far]
+            for h in some[(self.sig[some] == self.sig[k]).mean(axis=1) >= VERIFY].tolist():
+                if self.root[h] != self.root[k]:
+                    yield k, h
+
+    def join(self, k: int, h: int) -> tuple[int, int]:
+        self.root[self.root == self.root[h]] = self.root[k]
+        x, y = int(self.uid[k]), int(self.uid[h])
+        return max(x, y), min(x, y)
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
 
+_BLOCK_KEY = ["key", "part", "at"]
 
-def _bridges(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one block with another (or itself): pairs whose estimate allows a link, as many as join families that were apart."""
-    x, y, a, b, same = _sides(rows)
-    open_a, open_b = x["open"].to_numpy(bool), y["open"].to_numpy(bool)
-    both = pd.factorize(pd.concat([x["family"], y["family"]]))[0]
-    fam, n, out = both, len(x), []
-    for k in range(n if len(y) else 0):
-        far = fam[n:] != fam[k]
-        if far.any():
-            near = np.flatnonzero(far & ((b == a[k]).mean(axis=1) >= VERIFY) & (open_b | open_a[k]))
-            for h in near:
-                if fam[n + h] != fam[k]:
-                    fam = np.where(fam == fam[n + h], fam[k], fam)
-                    out.append((max(x["uid"][k], y["uid"][h]), min(x["uid"][k], y["uid"][h])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+def _bridges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block, pairs whose estimate allows a link: as many as join classes that were apart."""
+    for rows in _runs(batches, _BLOCK_KEY):
+        block = _Block(rows)
+        if found := [block.join(k, h) for k, h in block.likely()]:
+            yield _pairs(found)
+    release()
 
 
 def _within(words: int, weighting: str, threshold: float):
-    """Of one block of a family with another (or itself): the verified links that join classes that were apart."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y, a, b, same = _sides(rows)
-        n, out = len(x), []
-        root = pd.factorize(pd.concat([x["class_"], y["class_"]]))[0]
-        made: dict[int, tuple[str, np.ndarray]] = {}
-
-        def of(k: int) -> tuple[str, np.ndarray]:
-            if k not in made:
-                text = words_of(x["text"][k] if k < n else y["text"][k - n])
-                made[k] = text, np.unique(shingles([text], words)[0])
-            return made[k]
-
-        for k in range(n if len(y) else 0):
-            near = np.flatnonzero((root[n:] != root[k]) & ((b == a[k]).mean(axis=1) >= VERIFY))
-            for h in near:
-                if root[n + h] == root[k]:
-                    continue
-                (s, p), (t, q) = of(k), of(n + h)
-                if weighting == "unit":
-                    both = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= threshold * max(len(p), len(q)) else 0
-                    alike = both >= threshold * (len(p) + len(q) - both) and both > 0
-                else:
+    """Of each block, the verified links that join classes that were apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, _BLOCK_KEY):
+            block, texts, found = _Block(rows), rows.column("text"), []
+            made: dict[int, tuple[str, np.ndarray]] = {}
+
+            def of(k: int) -> tuple[str, np.ndarray]:
+                if k not in made:
+                    text = words_of(texts[k].as_py())
+                    made[k] = text, np.unique(shingles([text], words)[0])
+                return made[k]
+
+            for k, h in block.likely():
+                (s, p), (t, q) = of(k), of(h)
+                if weighting != "unit":
                     alike = similarity(s, t, words, weighting) >= threshold
+                elif min(len(p), len(q)) < threshold * max(len(p), len(q)):
+                    alike = False
+                else:
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    alike = both >= threshold * (len(p) + len(q) - both) and both > 0
                 if alike:
-                    root = np.where(root == root[n + h], root[k], root)
-                    out.append((max(x["uid"][k], y["uid"][h]), min(x["uid"][k], y["uid"][h])))
+                    found.append(block.join(k, h))
+            if found:
+                yield _pairs(found)
         release()
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _in_blocks(rows: DataFrame, by: str) -> DataFrame:
-    """rows with n (rows of the key), part, and at: one row for each pair of blocks that it is in."""
-    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sized = rows.join(counts, by).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    sized = sized.withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
-    return sized.withColumn("at", F.explode(others)).drop("n", "parts")
+def _mingled(rows: DataFrame, total: int) -> DataFrame:
+    """Of rows (key, uid, class_, any others; a table of `total`), those of keys with several classes, with n, outside, main.
+
+    n: rows of the key; main: its largest class; outside: rows that aren't in that.
+    """
+    sizes = rows.groupBy("key", "class_").agg(F.count(F.lit(1)).alias("k"))
+    keys = sizes.groupBy("key").agg(F.sum("k").alias("n"), F.max(F.struct("k", "class_")).alias("best")).filter("n > best.k")
+    keys = common.materialize(keys.select("key", "n", (F.col("n") - F.col("best.k")).alias("outside"), F.col("best.class_").alias("main")), total)
+    return common.materialize(common.join_counted(rows, keys, ["key"], "n", total), total)
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of _mingled() dealt to blocks (key, part, at) and sorted by them: every text with all that are outside.
+
+    A text is repeated for each BLOCK texts that are outside, and one that is outside for each BLOCK texts of the key.
+    """
+    parts, ats = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "outside"))
+    part, at = F.pmod(F.xxhash64("uid"), parts).cast("int"), F.pmod(F.xxhash64(F.lit(1), "uid"), ats).cast("int")
+    where = lambda part, at, outer: F.struct(part.alias("part"), at.alias("at"), F.lit(outer).alias("outer"))
+    inner = F.transform(F.sequence(F.lit(0), ats - 1), lambda k: where(part, k, False))
+    outer = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: where(k, at, True))
+    places = F.when(F.col("class_") == F.col("main"), inner).otherwise(F.concat(inner, outer))
+    dealt = rows.withColumn("place", F.explode(places)).select("*", "place.*").drop("place", "n", "outside")
+    return dealt.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
 
 
 def _estimated(pairs: DataFrame, signatures: DataFrame, total: int) -> DataFrame:
@@ -285,14 +328,40 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, weighting: str, to
     return common.materialize(common.to_python(both).mapInArrow(run, "a long, b long, sim double"), total)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) for each node a of the edges of a task but the least of its component, b."""
+    held = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
+    if not held:
+        return
+    nodes, ends = np.unique(np.concatenate([np.concatenate([x[i] for x in held]) for i in (0, 1)]), return_inverse=True)
+    x, y = ends.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[x], root[y])
+        if (root[x] == root[y]).all():
+            break
+        np.minimum.at(root, root[x], least)
+        np.minimum.at(root, root[y], least)
+        while (root != root[root]).any():
+            root = root[root]
+    own = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["a", "b"])
+
+
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(uid, root) for each node of the edges (a, b): the least node that it is connected with.
 
-    Each round, a node takes the least label among its neighbours' and then its label's label; rounds end when no label
+    Each task first contracts its own edges to stars. Up to local_edges of those are contracted by one task more. Else
+    rounds follow: a node takes the least label among its neighbours' and then its label's label; rounds end when no label
     changes (about the logarithm of the longest path). Each round is written to the shared folder.
     """
-    n = edges.count()
-    both = common.materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), 2 * n)
+    edges = edges.filter("a <> b")
+    stars = common.materialize(edges.select("a", "b").mapInArrow(_contracted, "a long, b long"))
+    n = stars.count()
+    if n <= local_edges:
+        whole = common.materialize(stars.repartition(1).mapInArrow(_contracted, "a long, b long"))
+        return whole.select(F.col("a").alias("uid"), F.col("b").alias("root")).unionByName(whole.select(F.col("b").alias("uid"), F.col("b").alias("root")).distinct())
+    both = common.materialize(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), 2 * n)
     total = both.count()
     labels = common.materialize(both.groupBy(F.col("b").alias("uid")).agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("root")).withColumn("root", F.least("uid", "root")), total)
     while True:
@@ -307,12 +376,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("uid", "root")
 
 
-def _buckets(keyed: DataFrame) -> DataFrame:
-    """keyed (key, uid, band) in buckets of two or more, with n and the bucket's two leaders, its least and greatest uid."""
+def _buckets(keyed: DataFrame, total: int) -> DataFrame:
+    """keyed (key, uid; `total` rows) in buckets of two or more, with n and the bucket's two leaders, its least and greatest uid.
+
+    Of buckets with the same members (texts alike in many bands), one is left.
+    """
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("first"), F.max("uid").alias("last")).filter("n > 1")
-    total = keyed.count()
-    groups = common.materialize(groups, total // 2)
-    return common.materialize(common.join_counted(keyed, groups, ["key"], "n", total), total // 2)
+    members = common.materialize(common.join_counted(keyed, common.materialize(groups, total // 2), ["key"], "n", total), total // 2)
+    own = F.xxhash64("uid")
+    sets = members.groupBy("key").agg(F.max("n").alias("n"), F.max("first").alias("first"), F.max("last").alias("last"), F.bit_xor(own).alias("x"), F.sum(F.shiftright(own, 20)).alias("y"))
+    kept = common.materialize(sets.groupBy("n", "first", "last", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), total // 2)
+    size = members.count()
+    return common.materialize(common.join_counted(members.drop("n"), kept, ["key"], "n", size), size)
 
 
 def _ordered(a, b) -> list:
@@ -323,60 +398,47 @@ def _ordered(a, b) -> list:
 class _Links:
     """The pairs compared so far, and the links among them."""
 
-    def __init__(self, signatures: DataFrame, texts: DataFrame, words: int, weighting: str, threshold: float):
-        self.signatures, self.texts, self.words, self.weighting, self.threshold = signatures, texts, words, weighting, threshold
+    def __init__(self, texts: DataFrame, words: int, weighting: str, threshold: float):
+        self.texts, self.words, self.weighting, self.threshold = texts, words, weighting, threshold
+        self.signatures: DataFrame | None = None  # uid, sig of the texts that share a bucket
         self.known: DataFrame | None = None  # a, b, est, linked
-        self.bridges: DataFrame | None = None
         self.settled: DataFrame | None = None
+        self.labels: DataFrame | None = None  # uid, root: the classes so far
 
     def compare(self, pairs: DataFrame, bound: int) -> None:
         """Estimate and, where the estimate allows it, verify those pairs (a, b) that aren't known yet; bound: of their number."""
         if self.known is not None:
             pairs = pairs.join(self.known.select("a", "b"), ["a", "b"], "left_anti")
         pairs = common.materialize(pairs, bound)
-        total = pairs.count()
-        if not total:
-            if self.known is None:
-                self.known = pairs.select("a", "b", F.lit(0.0).alias("est"), F.lit(False).alias("linked"))
-            return
-        self._verify(_estimated(pairs, self.signatures, total), total)
-
-    def likely(self) -> DataFrame:
-        """Pairs (a, b) whose estimate allows a link."""
-        pairs = self.known.filter(F.col("est") >= VERIFY).select("a", "b")
-        return pairs if self.bridges is None else pairs.unionByName(self.bridges)
-
-    def families(self) -> DataFrame | None:
-        """(uid, root): components of the likely pairs."""
-        return components(self.likely()) if self.likely().limit(1).count() else None
-
-    def bridge(self, rows: DataFrame, bound: int) -> None:
-        """Join families by likely pairs among the rows (key, uid, open) of each key, with an open one in each; in blocks."""
-        families = self.families()
-        rows = rows.withColumn("family", F.col("uid")) if families is None else rows.join(families, "uid", "left").withColumn("family", F.coalesce("root", "uid")).drop("root")
-        dealt = _in_blocks(rows, "key").join(self.signatures, "uid").select("key", "uid", "open", "family", "sig", "part", "at")
-        self.bridges = common.materialize(dealt.groupBy("key", "at").applyInPandas(_bridges, "a long, b long").distinct(), bound)
+        if total := pairs.count():
+            self._verify(_estimated(pairs, self.signatures, total), total)
+            if self.any():
+                self.labels = components(self.edges())
+            common.tidy(pairs.sparkSession)
+
+    def with_class(self, rows: DataFrame) -> DataFrame:
+        """rows (uid, any others) with class_."""
+        if self.labels is None:
+            return rows.withColumn("class_", F.col("uid"))
+        return rows.join(self.labels, "uid", "left").withColumn("class_", F.coalesce("root", "uid")).drop("root")
+
+    def meet(self, mingled: DataFrame, bound: int) -> None:
+        """Compare the texts outside the largest class of their key with all others of it; rows of _mingled()."""
+        signed = mingled.select("key", "uid", "class_", "n", "outside", "main").join(self.signatures, "uid")
+        self.compare(_in_blocks(signed).mapInArrow(_bridges, "a long, b long").distinct(), bound)
 
     def settle(self) -> None:
-        """Compare all texts of each family of several classes among themselves, in blocks, and add the links that join classes."""
-        families = self.families()
-        if families is None:
-            return
-        labels = components(self.edges()).withColumnRenamed("root", "class_") if self.any() else None
-        rows = families.withColumnRenamed("root", "family")
-        rows = rows.withColumn("class_", F.col("uid")) if labels is None else rows.join(labels, "uid", "left").withColumn("class_", F.coalesce("class_", "uid"))
-        rows = common.materialize(rows)
-        # Of two texts, the one pair is known.
-        open_ = rows.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.min("class_").alias("x"), F.max("class_").alias("y")).filter("k > 2 AND x <> y").select("family")
-        rows = common.materialize(rows.join(open_, "family"))
-        n = rows.count()
+        """Compare the texts of each family of several classes among themselves, and add the links that join classes."""
+        likely = self.known.filter(F.col("est") >= VERIFY).select("a", "b")
+        rows = common.materialize(self.with_class(components(likely).withColumnRenamed("root", "key")))
+        mingled = _mingled(rows, rows.count()).filter("n > 2")  # of two texts, the one pair is known
+        n = mingled.count()
         if not n:
             return
-        few = F.broadcast(rows) if n <= BROADCAST_UIDS else rows
+        few = F.broadcast(mingled) if n <= BROADCAST_UIDS else mingled
         whole = common.materialize(self.texts.join(few, "uid").join(self.signatures, "uid"), n, 8192)
-        dealt = _in_blocks(whole, "family").select("family", "uid", "class_", "text", "sig", "part", "at")
-        found = common.to_python(dealt).groupBy("family", "at").applyInPandas(_within(self.words, self.weighting, self.threshold), "a long, b long")
-        self.settled = common.materialize(found, n)
+        found = common.to_python(_in_blocks(whole)).mapInArrow(_within(self.words, self.weighting, self.threshold), "a long, b long")
+        self.settled = common.materialize(found.distinct(), n)
 
     def _verify(self, est: DataFrame, total: int) -> None:
         close = common.materialize(est.filter(F.col("est") >= VERIFY).select("a", "b"), total)
@@ -396,62 +458,42 @@ class _Links:
         return linked if self.settled is None else linked.unionByName(self.settled)
 
 
-def link(signed: DataFrame, texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, weighting: str = "unit", far_texts: int = FAR_TEXTS, depth: int = DEPTH) -> DataFrame | None:
+def link(signed: DataFrame, texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, weighting: str = "unit", depth: int = DEPTH) -> DataFrame | None:
     """Verified links (a, b) between distinct texts, or None; signed: uid, sig, keys of each; texts: uid, text of each.
 
-    Not all linked pairs are there, but all that their connected components need. Lost are only pairs that share no band:
-    at a similarity of 0.8, three in a million; of two texts that meet only in large buckets, those that share no more than
-    DEPTH bands: at 0.8, six in a hundred thousand.
+    Not all linked pairs are there, but all that their connected components need. Lost are only pairs that share no band
+    (at a similarity of 0.8, three in a million), pairs whose estimate is under VERIFY (at 0.8, about one in a hundred
+    thousand), and of two texts that meet only in buckets that are split, those that share no more than `depth` bands (at 0.8
+    and a depth of 1, six in a hundred thousand).
     """
-    keyed = signed.select(F.posexplode("keys").alias("band", "key"), "uid")
-    found, labels = _Links(signed.select("uid", "sig"), texts, words, weighting, threshold), None
+    keyed, found = signed.select(F.explode("keys").alias("key"), "uid"), _Links(texts, words, weighting, threshold)
     for level in range(depth + 1):
-        members = _buckets(keyed)
+        members = _buckets(keyed, keyed.count())
         size = members.count()
         if not size:
             break
+        if not level:  # most texts are alone in all buckets
+            found.signatures = common.materialize(signed.select("uid", "sig").join(members.select("uid").distinct(), "uid", "left_semi"), size, 256)
         stars = members.select(*_ordered(F.col("uid"), F.col("first"))).unionByName(members.select(*_ordered(F.col("uid"), F.col("last"))))
-        found.compare(_apart(stars.filter("a <> b").distinct(), labels), size)
-        labels = components(found.edges()) if found.any() else None
-        # What isn't in the class of its bucket's leader is compared with others of the bucket.
-        lead = members.filter("uid <> first").select("key", "band", "uid", "first", "n")
-        judged = lead.join(found.known.select(F.col("a").alias("uid"), F.col("b").alias("first"), "est"), ["uid", "first"], "left")
-        if labels is not None:
-            few = labels.withColumnRenamed("uid", "first").withColumnRenamed("root", "first_root")
-            judged = judged.join(labels, "uid", "left").join(few, "first", "left").filter(~F.coalesce(F.col("root") == F.col("first_root"), F.lit(False)))
-        # One whose pair with the leader may be a link is in its family, and settled there.
-        judged = judged.filter(F.coalesce("est", F.lit(0.0)) < VERIFY)
-        opened = common.materialize(judged.select("key", "band", "uid", "n", (F.col("est") >= NEAR).alias("near")), size)
-        if not opened.limit(1).count():
+        found.compare(_apart(stars.filter("a <> b").distinct(), found.labels), size)
+        # Of three texts, all pairs are known now.
+        rows = common.materialize(found.with_class(members.filter("n > 3").select("key", "uid")), size)
+        mingled = _mingled(rows, size)
+        met = mingled if level == depth else mingled.filter(F.col("outside") <= BLOCK)
+        found.meet(met, size)
+        if level == depth:
             break
-        kinds = opened.groupBy("key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("open"), F.count_if("near").alias("nears"))
-        small = (F.col("n") <= far_texts) | (F.col("nears") <= FEW_NEAR) & (F.col("open") <= far_texts)
-        kinds = common.materialize(kinds.withColumn("meet", small), size)
-        meet, split = kinds.filter("meet").select("key"), kinds.filter("NOT meet")
-        near = opened.filter("near").join(meet, "key").select("key", F.col("uid").alias("near_uid"))
-        met = near.join(members.select("key", "uid"), "key").filter(F.col("near_uid") != F.col("uid")).select(*_ordered(F.col("near_uid"), F.col("uid")))
-        far = opened.join(meet, "key").select("key", "uid")
-        other = far.select("key", F.col("uid").alias("other"))
-        met = met.unionByName(far.join(other, "key").filter(F.col("uid") < F.col("other")).select(*_ordered(F.col("uid"), F.col("other")))).distinct()
-        found.compare(_apart(met, labels), size)
+        split = mingled.filter(F.col("outside") > BLOCK).select("key", "uid")
         if not split.limit(1).count():
             break
-        if level == depth:
-            is_open = opened.select("key", "uid", F.lit(True).alias("open"))
-            whole = members.select("key", "uid").join(split.filter("nears > 0").select("key"), "key").join(is_open, ["key", "uid"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-            found.bridge(common.materialize(whole.unionByName(is_open.join(split.filter("nears = 0").select("key"), "key").select("key", "uid", "open")), size), size)
-            break
-        # Where texts near the leader are left, all of the bucket goes on to finer buckets, else only what is far.
-        whole = members.select("key", "band", "uid").join(split.filter("nears > 0").select("key"), "key")
-        some = opened.select("key", "band", "uid").join(split.filter("nears = 0").select("key"), "key")
-        further = signed.select("uid", F.posexplode("keys").alias("next_band", "next"))
-        finer = whole.unionByName(some).join(further, "uid").filter(F.col("next_band") > F.col("band"))
-        keyed = common.materialize(finer.select(F.col("next_band").alias("band"), F.xxhash64("key", "next").alias("key"), "uid"), size * 8)
-    if found.known is not None:
-        found.settle()
-    if not found.any():
+        further = split.join(signed.select("uid", "keys"), "uid").select("uid", "key", F.explode("keys").alias("next")).filter("key <> next")
+        finer = further.select(F.xxhash64(F.least("key", "next"), F.greatest("key", "next")).alias("key"), "uid").distinct()
+        keyed = common.materialize(finer, size * 8)
+    if found.known is None:
         return None
-    return common.materialize(found.edges())
+    if found.known.filter(F.col("est") >= VERIFY).limit(1).count():
+        found.settle()
+    return common.materialize(found.edges()) if found.any() else None
 
 
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
