@@ -33,7 +33,7 @@ _WORD = re.compile(r"[^\S\x1c-\x1f]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-/:-@\[-`{-~
 PIECE_CHARS = 1 << 20
 _CUT = re.compile(r"[\S\x1c-\x1f](?=[^\S\x1c-\x1f])")
 #: Words whose ids a worker remembers, and the longest of them.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 CACHE_CHARS = 48
 #: So many new words are encoded as one text.
 JOINED_WORDS = 5_000
