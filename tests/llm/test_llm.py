@@ -273,6 +273,23 @@ def test_mix(spark, local):
     assert mixed.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and mixed.count() > 0
 
 
+def test_mixed_documents_take_what_the_mix_takes(spark):
+    """Repeated rows, null ids, sources and texts, and columns named as the operator's own."""
+    rnd = random.Random(13)
+    rows = [(1, "a b c", "x")] * 20 + [(2, "d e f", "y")] * 20 + [(i, prose(rnd, i % 9), None) for i in range(40)] + [(None, None, "y")] * 3 + [(7, "same size", "y"), (7, "equal size", "y")]
+    docs = docs_of(spark, rows)
+    for c in ("of_id", "of_size", "of_source", "own_size", "own_copies", "size", "p", "rows", "block", "copies", "target", "keep_0"):
+        docs = docs.withColumn(c, F.lit(c))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    got = mixed.collect()
+    want = mixing.mix(docs.select("doc_id", "source", mixing.word_count().alias("size"))).filter("copies > 0")
+    count = lambda found: Counter({k: n for k, n in found.items() if n})
+    assert count(Counter((r.doc_id, r.source) for r in got)) == count(sum((Counter({(r.doc_id, r.source): r.copies}) for r in want.collect()), Counter()))
+    assert all(r.keep_0 == "keep_0" and r.of_id == "of_id" for r in got)
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
 # sharding
 
 
@@ -301,6 +318,20 @@ def test_a_group_larger_than_a_shard_is_spread(spark):
     assert len(loads) == 16 and max(loads.values()) <= 103
 
 
+def test_shards_keep_clashing_columns_and_split_sums(spark):
+    names = ["row", "h", "hub_rows", "hub_size", "at", "bucket", "before", "stays", "back", "want", "odds", "w", "whole", "n"]
+    df = spark.range(700).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 0, F.lit(3)).cast("long").alias("size"), F.when(F.col("id") % 3 == 0, F.col("id") % 50).cast("string").alias("hub"), *[F.lit(c).alias(c) for c in names])
+    df = df.unionByName(df.limit(9)).unionByName(df.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    for sums in (65_536, 20):
+        got = sharding.shard_by_bytes(df, bucket_rows=20, local_sums=sums)
+        assert got.columns == [*df.columns, "shard", "slot"]
+        rows, slots = got.collect(), defaultdict(list)
+        for r in rows:
+            slots[r.shard].append(r.slot)
+            assert all(r[c] == c for c in names)
+        assert len(rows) == 712 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 # near-dedup
 
 
@@ -344,15 +375,16 @@ def family(seed=6):
     return texts + [None, "", " \n", "One two", "one  TWO", texts[0], "long " * 4000 + prose(rnd, 50)]
 
 
-@pytest.mark.parametrize("far_texts,weighting", [(32, "unit"), (4, "unit"), (32, "count")])
-def test_near_dedup_is_brute_force(spark, far_texts, weighting):
+@pytest.mark.parametrize("block,weighting", [(512, "unit"), (3, "unit"), (512, "count")])
+def test_near_dedup_is_brute_force(spark, monkeypatch, block, weighting):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     texts = family()
     df = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
-    got = {r.doc_id: r for r in near_dedup.classes(df, far_texts=far_texts, weighting=weighting).collect()}
+    got = {r.doc_id: r for r in near_dedup.classes(df, weighting=weighting).collect()}
     if weighting == "unit":
         assert partition([got[i].class_id for i in range(len(texts))], range(len(texts))) == partition(brute(texts), range(len(texts)))
     assert all(r.class_id <= r.doc_id for r in got.values())
-    kept = near_dedup.keep_one(df.withColumn("row", F.lit(1)).withColumn("key", F.lit(2)), far_texts=far_texts, weighting=weighting)
+    kept = near_dedup.keep_one(df.withColumn("row", F.lit(1)).withColumn("key", F.lit(2)), weighting=weighting)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r.class_id for r in got.values()}) and kept.columns[-2:] == ["row", "key"]
 
 
@@ -384,10 +416,12 @@ def test_probminhash_estimates_probability_jaccard():
     assert near_dedup.similarity("", "") == 1.0 and near_dedup.similarity("", "x") == 0.0
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("local_edges", [1_000_000, 100])
+def test_components_of_a_path_and_a_star(spark, local_edges):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 3000)]
-    got = {r.uid: r.root for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(1000, 4000)} == {1000}
+    random.Random(1).shuffle(edges)
+    got = {r.uid: r.root for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long").repartition(5), local_edges).collect()}
+    assert len(got) == 3041 and {got[i] for i in range(41)} == {0} and {got[i] for i in range(1000, 4000)} == {1000}
 
 
 # packing
@@ -493,6 +527,17 @@ def test_toxicity_without_both_labels(spark):
 # queries and pipeline
 
 
+def test_entry_without_a_library_of_these_operators():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, any(n.startswith('op1_') for n in q))"
+    made = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True)
+    n, *others = made.stdout.split()
+    assert int(n) > 50 and others == ["False", "False"]
+
+
 def test_queries_with_sql(spark):
     import os
 
