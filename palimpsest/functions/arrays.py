@@ -10,11 +10,24 @@ NO_EDIT = 100_000_000
 _INTS = "array<int>"
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value found once: lambdas find an expression anew for each element."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _run(start: Column, end: Column) -> Column:
+    """start to end, or nothing."""
+    return F.when(start <= end, F.sequence(start, end)).otherwise(F.array().cast(_INTS))
+
+
 def spans(indices: Column) -> Column:
     """Ascending indices in runs of consecutive ones: [1, 2, 3, 7, 9, 10] gives [[1, 2, 3], [7], [9, 10]]."""
-    starts = F.filter(indices, lambda x: ~F.array_contains(indices, x - 1))
-    ends = F.filter(indices, lambda x: ~F.array_contains(indices, x + 1))
-    return F.zip_with(starts, ends, lambda a, b: F.sequence(a, b))
+    def parted(xs: Column) -> Column:
+        starts = F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1) < x - 1))
+        ends = F.filter(xs, lambda x, i: (i == F.size(xs) - 1) | (F.get(xs, i + 1) > x + 1))
+        return F.zip_with(starts, ends, lambda a, b: F.sequence(a, b))
+
+    return let(indices, parted)
 
 
 def is_contiguous(indices: Column) -> Column:
@@ -27,10 +40,20 @@ def positions(tokens: Column, token: str) -> Column:
     return F.filter(F.transform(tokens, lambda t, i: F.when(t == token, i)), lambda i: i.isNotNull())
 
 
+def _up_to(values: Column, x: Column) -> Column:
+    """How many of the ascending values are x or less, by halving."""
+    bits = F.ceil(F.log2(F.size(values) + 1)).cast("int")
+    step = lambda n, k: let(n + F.pow(F.lit(2), k).cast("int"), lambda m: F.when(F.get(values, m - 1) <= x, m).otherwise(n))
+    return F.aggregate(F.sequence(bits, F.lit(0), F.lit(-1)), F.lit(0), step)
+
+
 def distances(at: Column, edits: Column) -> Column:
-    """For each position the distance to the nearest edited one: array of (url_index, dist)."""
-    near = lambda i: F.coalesce(F.array_min(F.transform(edits, lambda e: F.abs(e - i))), F.lit(NO_EDIT))
-    return F.transform(at, lambda i, k: F.struct(k.alias("url_index"), near(i).cast("int").alias("dist")))
+    """For each position the distance to the nearest edited one (ascending): array of (url_index, dist)."""
+    def near(es: Column, i: Column) -> Column:
+        away = lambda k: F.abs(F.get(es, k) - i)
+        return let(_up_to(es, i), lambda n: F.coalesce(F.least(away(n - 1), away(n)), F.lit(NO_EDIT)))
+
+    return let(edits, lambda es: F.transform(at, lambda i, k: F.struct(k.alias("url_index"), near(es, i).cast("int").alias("dist"))))
 
 
 def urls_within(urls: Column, dists: Column, most: int) -> Column:
@@ -38,10 +61,15 @@ def urls_within(urls: Column, dists: Column, most: int) -> Column:
 
 
 def token_context(tokens: Column, edits: Column, window: int) -> Column:
-    """Struct of tokens and action (1 if edited) of the edited tokens and up to `window` on either side."""
-    every = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast(_INTS))
-    at = F.filter(every, lambda i: F.exists(edits, lambda e: F.abs(e - i) <= window))
-    return F.struct(F.transform(at, lambda i: F.get(tokens, i)).alias("tokens"), F.transform(at, lambda i: F.array_contains(edits, i).cast("int")).alias("action"))
+    """Struct of tokens and action (1 if edited) of the edited tokens (ascending indices) and up to `window` on either side."""
+    def around(es: Column, e: Column, k: Column) -> Column:
+        before = _run(F.greatest(e - window, F.coalesce(F.get(es, k - 1) + window + 1, F.lit(0)), F.lit(0)), e - 1)
+        after = _run(e + 1, F.least(e + window, F.coalesce(F.get(es, k + 1), F.size(tokens)) - 1, F.size(tokens) - 1))
+        beside = lambda run: F.transform(run, lambda i: F.struct(i.alias("i"), F.lit(0).alias("action")))
+        return F.concat(beside(before), F.array(F.struct(e.alias("i"), F.lit(1).alias("action"))), beside(after))
+
+    at = let(edits, lambda es: F.flatten(F.transform(es, lambda e, k: around(es, e, k))))
+    return let(at, lambda xs: F.struct(F.transform(xs, lambda x: F.get(tokens, x["i"])).alias("tokens"), F.transform(xs, lambda x: x["action"]).alias("action")))
 
 
 def offsets(sents: Column) -> Column:
@@ -64,30 +92,30 @@ def py_slice(values: Column, start: Column, end: Column) -> Column:
 
 def _window_ends(tokens: Column, reference: Column, length: int) -> Column:
     """Struct of top and e: the most reference tokens in a run, and the middle one of the last positions of such runs."""
-    flags = F.transform(tokens, lambda t: F.array_contains(reference, t).cast("int"))
-    sums = F.aggregate(flags, F.array().cast(_INTS), lambda acc, x: F.concat(acc, F.array(x + F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(0))))
+    def middle(sums: Column) -> Column:
+        scored = F.transform(F.sequence(F.lit(length), F.size(sums) - 1), lambda e: F.struct((F.get(sums, e) - F.get(sums, e - length)).alias("c"), e.alias("e")))
+        best = lambda xs: let(F.array_max(F.transform(xs, lambda x: x["c"])), lambda top: F.filter(xs, lambda x: x["c"] == top))
+        chosen = let(let(scored, best), lambda xs: F.get(xs, F.floor(F.size(xs) / 2).cast("int")))
+        return let(chosen, lambda x: F.struct(x["c"].alias("top"), x["e"].alias("e")))
 
-    def middle(s: Column) -> Column:
-        scored = F.transform(F.sequence(F.lit(length), F.size(s) - 1), lambda e: F.struct((F.get(s, e) - F.get(s, e - length)).alias("c"), e.alias("e")))
-        return F.transform(F.array(scored), lambda xs: F.transform(F.array(F.array_max(F.transform(xs, lambda x: x["c"]))), lambda top: F.transform(F.array(F.filter(xs, lambda x: x["c"] == top)), lambda best: F.struct(top.alias("top"), F.get(best, F.floor(F.size(best) / 2).cast("int"))["e"].alias("e"))))[0])[0][0]
+    def counted(hits: Column) -> Column:
+        """For each token, how many reference tokens there are up to it."""
+        more = F.transform(hits, lambda i, k: F.array_repeat(k + 1, F.coalesce(F.get(hits, k + 1), F.size(tokens)) - i))
+        return F.flatten(F.concat(F.array(F.array_repeat(F.lit(0), F.coalesce(F.get(hits, 0), F.size(tokens)))), more))
 
-    return F.get(F.transform(F.array(sums), lambda s: F.when(F.size(s) > length, middle(s))), 0)
+    hits = F.filter(F.transform(tokens, lambda t, i: F.when(F.array_contains(reference, t), i)), lambda i: i.isNotNull())
+    return F.when(F.size(tokens) > length, let(let(hits, counted), middle))
 
 
 def best_window(tokens: Column, reference: Column, length: int) -> Column:
-    """Struct of tokens and overlap: the run of `length` tokens with most reference tokens; of equal ones the middle one.
+    """Struct of tokens, overlap and start: the run of `length` tokens with most reference tokens; of equal ones the middle one.
 
     A text of up to `length` tokens is returned whole, with the number of distinct reference tokens in it. For a run that
     ends at e, tokens e - length + 1 to e are counted and e - length to e - 1 returned; runs start to count at e = length.
     """
-    short = F.struct(tokens.alias("tokens"), F.size(F.array_intersect(tokens, reference)).alias("overlap"))
-    found = lambda w: F.when(w.isNull(), short).otherwise(F.struct(F.slice(tokens, w["e"] - length + 1, F.lit(length)).alias("tokens"), w["top"].alias("overlap")))
-    return F.get(F.transform(F.array(_window_ends(tokens, reference, length)), found), 0)
-
-
-def best_start(tokens: Column, reference: Column, length: int) -> Column:
-    """Where best_window() starts."""
-    return F.coalesce(_window_ends(tokens, reference, length)["e"] - length, F.lit(0))
+    short = F.struct(tokens.alias("tokens"), F.size(F.array_intersect(tokens, reference)).alias("overlap"), F.lit(0).alias("start"))
+    found = lambda w: F.struct(F.slice(tokens, w["e"] - length + 1, F.lit(length)).alias("tokens"), w["top"].alias("overlap"), (w["e"] - length).alias("start"))
+    return let(_window_ends(tokens, reference, length), lambda w: F.when(w.isNull(), short).otherwise(found(w)))
 
 
 def trimmed(grounding: Column, context: Column, target: Column, most: int = 1024, context_first: bool = False) -> Column:
@@ -111,6 +139,15 @@ def trimmed(grounding: Column, context: Column, target: Column, most: int = 1024
     return F.struct(F.slice(grounding, F.lit(1), keep_g).alias("grounding"), F.slice(context, drop_c + 1, F.greatest(F.size(context) - drop_c, F.lit(0))).alias("context"))
 
 
+def counted(values: Column) -> Column:
+    """The distinct values in order, each with the number of times it is there: array of (value, n)."""
+    def runs(xs: Column) -> Column:
+        starts = F.filter(F.transform(xs, lambda x, i: F.when((i == 0) | (F.get(xs, i - 1) != x), i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(xs, i).alias("value"), (F.coalesce(F.get(at, k + 1), F.size(xs)) - i).alias("n"))))
+
+    return let(F.array_sort(values), runs)
+
+
 def without(values: Column, other: Column) -> Column:
     """values that aren't in other; repeated ones stay repeated."""
     return F.filter(values, lambda v: ~F.array_contains(other, v))

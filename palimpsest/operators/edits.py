@@ -129,9 +129,20 @@ def sentence_context(left: int = 1, right: int = 1, inclusive_end: bool = False)
     return run
 
 
-def changed_sentences(sents: str = "tgt_sents", diff: str = "tgt_token_diff", out: str = "tgt_sent_diff") -> Transform:
-    """Adds the numbers of the sentences that hold edited tokens."""
-    return lambda df: df.withColumn("own_offsets", arrays.offsets(F.col(sents))).withColumn(out, F.array_sort(F.array_distinct(F.transform(diff, lambda i: arrays.sentence_of(F.col("own_offsets"), i))))).drop("own_offsets")
+def changed_sentences(sents: str = "tgt_sents", diff: str = "tgt_token_diff", out: str = "tgt_sent_diff", tokens: str = "tgt_tokens", compat: bool = False) -> Transform:
+    """Adds the numbers of the sentences that hold edited tokens; tokens of one character add none.
+
+    With compat, the token that is tested for its length is that of the edit's own number (the first token for the first edit,
+    and so on), and a sentence's end still takes in the next token.
+    """
+    def run(df: DataFrame) -> DataFrame:
+        offs = F.col("own_offsets")
+        place = (lambda i: F.least(F.size(F.filter(offs, lambda o: o < i)) - 1, F.size(sents) - 1)) if compat else lambda i: arrays.sentence_of(offs, i)
+        token = (lambda i, k: F.get(tokens, k)) if compat else lambda i, k: F.get(tokens, i)
+        long = F.filter(F.transform(diff, lambda i, k: F.when(F.length(token(i, k)) > 1, F.greatest(place(i), F.lit(0) if compat else F.lit(-1)))), lambda x: x.isNotNull())
+        return df.withColumn("own_offsets", arrays.offsets(F.col(sents))).withColumn(out, F.array_sort(F.array_distinct(long))).drop("own_offsets")
+
+    return run
 
 
 def project(columns: Sequence[str]) -> Transform:
@@ -195,6 +206,32 @@ def forward_fill(column: str, by: Sequence[str], order: Sequence[str], out: str)
     return lambda df: df.withColumn(out, F.last(column, True).over(so_far))
 
 
+def marked_neighbours(df: DataFrame, by: Sequence[str], order: Sequence[str], mark: Column) -> DataFrame:
+    """Adds before and after: the nearest mark that isn't null in the rows before and after each row."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    marked = df.withColumn("own_mark", mark)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    return marked.withColumns({"before": F.last("own_mark", True).over(back), "after": F.first("own_mark", True).over(ahead)}).drop("own_mark")
+
+
+def revision_counts(revisions: DataFrame, page: str = "page_id", author: str = "username") -> DataFrame:
+    """(page, revisions, authors) of each page."""
+    return revisions.groupBy(page).agg(F.count(F.lit(1)).alias("revisions"), F.countDistinct(author).alias("authors"))
+
+
+def near_equals(rows: DataFrame, keys: Sequence[str], source: Column, target: Column, window: int) -> DataFrame:
+    """(keys, i, j, value): equal elements of two arrays, the target's from window before i to window - 1 after it.
+
+    Positions are cut into bands of twice the window and joined by value and band, so that a value which is often in both
+    meets its like of a band or two, not of the whole arrays.
+    """
+    band = lambda i: F.floor(i / (2 * window))
+    a = rows.select(*keys, F.posexplode(source).alias("i", "value"))
+    a = a.withColumn("own_band", F.explode(F.array_distinct(F.array(band(F.col("i") - window), band(F.col("i") + window - 1)))))
+    b = rows.select(*keys, F.posexplode(target).alias("j", "value")).withColumn("own_band", band(F.col("j")))
+    return a.join(b, [*keys, "value", "own_band"]).filter((F.col("j") >= F.col("i") - window) & (F.col("j") < F.col("i") + window)).drop("own_band")
+
+
 def islands(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(by, first, last, n) of runs of consecutive integers."""
     group = F.col(value) - F.row_number().over(Window.partitionBy(*by).orderBy(value))

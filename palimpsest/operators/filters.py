@@ -118,7 +118,7 @@ def no_words(words: Sequence[str], columns: Sequence[str]) -> Transform:
 
 
 #: Characters that betray leftovers of markup.
-PUNCTUATION = ("[", "]", "{", "}", "|", "<", ">", "=", "*")
+PUNCTUATION = ("[", "]", "|", "/", "\\", "$", "#", "@", "%")
 
 
 def no_punctuation(columns: Sequence[str], blocked: Sequence[str] = PUNCTUATION) -> Transform:

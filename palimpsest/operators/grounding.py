@@ -19,11 +19,29 @@ def filter_index(lines: DataFrame, urls: DataFrame, column: str = "url") -> Data
 def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, tie: str, k: int = 1) -> DataFrame:
     """The k rows of right nearest in time to each row of left with equal keys, before or after; ties: greatest `tie` first.
 
-    Needs a column row_id that tells left rows apart. Equal keys are joined, never all with all; the best k of a left row
-    are found by one window over it.
+    Needs a column row_id that tells left rows apart. Rows without a time come last, and for a left row without one only ties
+    decide. Null keys are near nothing. right's rows are numbered by time in each key, and a left row looks up the numbers of
+    the k before and the k after it: rows grow with k, not with a key's rows.
     """
-    joined = left.join(right, list(on))
-    away = F.abs(F.unix_micros(F.col(right_time).cast("timestamp")) - F.unix_micros(F.col(left_time).cast("timestamp")))
+    keys, micros = list(on), lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    by_key = Window.partitionBy(*keys)
+    last = F.lit((1 << 63) - 1)
+    rights = right.withColumn("own_t", F.coalesce(micros(right_time), last))
+    rights = rights.withColumns({"own_b": F.row_number().over(by_key.orderBy("own_t", F.col(tie))), "own_a": F.row_number().over(by_key.orderBy("own_t", F.col(tie).desc())), "own_tie": F.row_number().over(by_key.orderBy(F.col(tie).desc()))})
+    places = F.array(*[F.struct(F.lit(x).alias("side"), F.col(f"own_{x}").alias("number")) for x in ("b", "a", "tie")])
+    numbered = rights.withColumn("own_place", F.explode(places)).select(*right.columns, F.col("own_place.side").alias("own_side"), F.col("own_place.number").alias("own_number"))
+    # How many rows of right aren't later than each row of left: both sides in one window, right's first at equal times.
+    times = right.select(*keys, F.coalesce(micros(right_time), last).alias("own_t"), F.lit(1).alias("own_right"), F.lit(None).alias("own_row"))
+    every = left.select(*keys, micros(left_time).alias("own_t"), F.lit(0).alias("own_right"), F.struct(*left.columns).alias("own_row")).unionByName(times)
+    upto = by_key.orderBy(F.col("own_t"), F.col("own_right").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = every.withColumn("own_n", F.sum("own_right").over(upto)).filter("own_right = 0")
+    wanted = lambda side, numbers: F.transform(numbers, lambda i: F.struct(F.lit(side).alias("side"), i.cast("int").alias("number")))
+    n = F.col("own_n")
+    ups = F.concat(wanted("b", F.sequence(n - k + 1, n)), wanted("a", F.sequence(n + 1, n + k)))
+    spots = F.when(F.col("own_t").isNull(), wanted("tie", F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long")))).otherwise(ups)
+    asked = counted.withColumn("own_place", F.explode(spots)).select("own_row.*", F.col("own_place.side").alias("own_side"), F.col("own_place.number").alias("own_number"))
+    joined = asked.join(numbered, [*keys, "own_side", "own_number"]).drop("own_side", "own_number")
+    away = F.abs(micros(right_time) - micros(left_time))
     first = Window.partitionBy("row_id").orderBy(away.asc_nulls_last(), F.col(tie).desc())
     return joined.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k)
 

@@ -16,17 +16,17 @@ from palimpsest.operators import edits, filters
 from palimpsest.pipeline import Funnel, chain
 
 #: Title parts of pages that aren't articles.
-PAGE_TYPES = ("Talk:", "User:", "Wikipedia:", "Template:", "File:", "Portal:", "Help:", "Category:", "MediaWiki:", "Draft:", "Module:")
+PAGE_TYPES = ("Talk:", "User talk:", "Wikipedia talk:", "Template talk:", "User:", "Wikipedia:")
 
 
-def edit_steps(least_text: int = 5, most_text: int = 10_000_000, least_added: int = 3, most_added: int = 200, most_distance: int = 15, min_left: int = 10) -> list:
+def edit_steps(least_text: int = 5, most_text: int = 10_000_000, least_added: int = 3, most_added: int = 100, most_distance: int = 1, min_left: int = 10) -> list:
     """The named steps of extract_additions(); native predicates first, then markup, tokens and diffs."""
     return [
         ("article pages", filters.exclude_titles(PAGE_TYPES)),
         ("no tool edits", filters.comment_blocklist()),
         ("text length", filters.text_length(least_text, most_text)),
         ("find urls", edits.clean_urls()),
-        ("has urls", filters.has_urls(src=False, tgt=True)),
+        ("has urls", filters.has_urls(src=True, tgt=True)),
         ("strip markup", edits.clean_markup),
         ("clean newlines", edits.clean_newlines()),
         ("tokenize", edits.tokenize),

@@ -1,8 +1,5 @@
 """Queries over the driver's tables, each applying operators of this package, and DuckDB SQL for those that SQL can express.
 
-Where the SQL of a query takes only some of the rows, the query of that name takes the same ones, and NAME_whole, which has no
-SQL, applies the same operator to all of them.
-
 The tables stand in for the real inputs: conversations for revision histories (a conversation is a page, a turn a
 revision), pages for crawl snapshots, documents for page and source texts, events for things with a time.
 """
@@ -60,7 +57,7 @@ def pair_length_filter(spark, sf_dir):
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS page_id, count(*) AS revisions, count(DISTINCT role) AS authors FROM conversations GROUP BY conv_id")
 def revisions_per_page(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("page_id")).agg(F.count(F.lit(1)).alias("revisions"), F.countDistinct("role").alias("authors"))
+    return edits.revision_counts(table(spark, sf_dir, "conversations").withColumn("page_id", F.col("conv_id").cast("string")), "page_id", "role")
 
 
 @query("SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS carried FROM events")
@@ -95,13 +92,14 @@ def clean_newlines(spark, sf_dir):
 
 @query(r"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM documents) GROUP BY token HAVING count(*) >= 5")
 def regex_tokens_explode(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.words(F.lower("text"))).alias("token"))
-    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs")).filter("n >= 5")
+    # Tokens are counted in each document first: what is shuffled is a row for each of its words, with two sums.
+    rows = table(spark, sf_dir, "documents").select(F.explode(arrays.counted(text.words(F.lower("text")))).alias("own")).select("own.*")
+    return rows.groupBy(F.col("value").alias("token")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).filter("n >= 5")
 
 
 @query("SELECT page_id, CAST(len(h) AS BIGINT) AS n_links, array_to_string(h, ' ') AS links FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS h FROM pages)")
 def href_extract(spark, sf_dir):
-    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    links = text.links(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", F.size(links).cast("long").alias("n_links"), F.array_join(links, " ").alias("links"))
 
 
@@ -161,7 +159,8 @@ def longest_text_per_source(spark, sf_dir):
 
 @query("SELECT count(*) AS n, count(DISTINCT text) AS texts FROM documents")
 def dedupe_texts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("texts"))
+    # Digests are shuffled, not texts.
+    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.unhex(F.sha2("text", 256))).alias("texts"))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS url, min(strftime(ts, '%Y')) AS year FROM events WHERE event_type <> 'view' GROUP BY user_id")
@@ -233,7 +232,7 @@ def sliding_window_sum(spark, sf_dir):
 
 _REF = "('the'), ('and'), ('is'), ('of'), ('er')"
 _SNIPPET = rf"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS toks FROM documents WHERE length(text) BETWEEN 200 AND 3000),
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS toks FROM documents),
 r AS (SELECT * FROM (VALUES {_REF}) v(w)),
 x AS (SELECT doc_id, pos, toks[pos] AS tok, len(toks) AS n FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS pos FROM t)),
 f AS (SELECT x.doc_id, x.pos, x.n, CASE WHEN r.w IS NULL THEN 0 ELSE 1 END AS hit, x.tok FROM x LEFT JOIN r ON x.tok = r.w),
@@ -242,24 +241,20 @@ c AS (SELECT doc_id, pos - 1 AS e, c, max(c) OVER (PARTITION BY doc_id) AS top F
 b AS (SELECT doc_id, e, c, row_number() OVER (PARTITION BY doc_id ORDER BY e) AS nth, count(*) OVER (PARTITION BY doc_id) AS k FROM c WHERE c = top)
 SELECT doc_id, CAST(e - 20 AS BIGINT) AS start, CAST(c AS BIGINT) AS overlap FROM b WHERE nth = k // 2 + 1
 UNION ALL SELECT doc_id, CAST(0 AS BIGINT), count(DISTINCT CASE WHEN hit = 1 THEN tok END) FROM f WHERE n <= 20 GROUP BY doc_id
+UNION ALL SELECT doc_id, CAST(0 AS BIGINT), CASE WHEN toks IS NOT NULL THEN CAST(0 AS BIGINT) END FROM t WHERE coalesce(len(toks), 0) = 0
 """
 
 
 @query(_SNIPPET)
 def best_snippet_window(spark, sf_dir):
-    return _snippet_windows(table(spark, sf_dir, "documents").filter(F.length("text").between(200, 3000)))
-
-
-@query()
-def best_snippet_window_whole(spark, sf_dir):
     return _snippet_windows(table(spark, sf_dir, "documents"))
 
 
 def _snippet_windows(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.words(F.lower("text")).alias("toks"))
     reference = F.array(*[F.lit(w) for w in ("the", "and", "is", "of", "er")])
-    found = rows.withColumn("best", arrays.best_window(F.col("toks"), reference, 20)).withColumn("start", arrays.best_start(F.col("toks"), reference, 20))
-    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("best.overlap").cast("long").alias("overlap"))
+    found = rows.withColumn("best", arrays.best_window(F.col("toks"), reference, 20))
+    return found.select("doc_id", F.col("best.start").cast("long").alias("start"), F.col("best.overlap").cast("long").alias("overlap"))
 
 
 @query(r"SELECT doc_id, pos - 1 AS line, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT doc_id, pos, len(regexp_extract_all(lines[pos], '[\p{L}\p{N}_]+')) AS n FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)))")
@@ -270,18 +265,13 @@ def token_prefix_offsets(spark, sf_dir):
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS toks FROM documents WHERE length(text) < 2000),
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS toks FROM documents),
 x AS (SELECT doc_id, pos - 1 AS pos, toks[pos] AS tok FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS pos FROM t)),
 u AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS url_index FROM x WHERE tok = 'the'),
 e AS (SELECT doc_id, pos AS at FROM x WHERE tok = 'of')
 SELECT u.doc_id, CAST(u.url_index AS BIGINT) AS url_index, CAST(coalesce(min(abs(e.at - u.pos)), 100000000) AS BIGINT) AS dist FROM u LEFT JOIN e ON u.doc_id = e.doc_id GROUP BY u.doc_id, u.url_index
 """)
 def url_token_distance(spark, sf_dir):
-    return _url_distances(table(spark, sf_dir, "documents").filter(F.length("text") < 2000))
-
-
-@query()
-def url_token_distance_whole(spark, sf_dir):
     return _url_distances(table(spark, sf_dir, "documents"))
 
 
@@ -291,17 +281,16 @@ def _url_distances(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("d.url_index").cast("long").alias("url_index"), F.col("d.dist").cast("long").alias("dist"))
 
 
-@query(r"""
-WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '/* ' || role || ' */ ' || text ELSE text END AS c FROM conversations WHERE NOT contains(text, chr(10)) AND NOT contains(text, '&'))
-SELECT conv_id, turn, CASE WHEN regexp_matches(c, '^/\*(.+)\*/(.*)$') THEN trim(regexp_extract(c, '^/\*(.+)\*/(.*)$', 1)) ELSE '' END AS title,
-       md5(CASE WHEN regexp_matches(c, '^/\*(.+)\*/(.*)$') THEN trim(regexp_extract(c, '^/\*(.+)\*/(.*)$', 2)) ELSE c END) AS rest FROM c
-""")
-def section_title(spark, sf_dir):
-    return _section_titles(table(spark, sf_dir, "conversations").filter(~F.contains("text", F.lit("\n")) & ~F.contains("text", F.lit("&"))))
+_TITLED = r"'^/\*([^\n]+)\*/([^\n]*)\n?\z'"
 
 
-@query()
-def section_title_whole(spark, sf_dir):
+@query(rf"""
+WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '/* ' || role || ' */ ' || text ELSE text END AS c FROM conversations),
+m AS (SELECT *, regexp_matches(c, {_TITLED}) AS titled FROM c)
+SELECT conv_id, turn, CASE WHEN titled THEN trim(regexp_extract(c, {_TITLED}, 1)) ELSE '' END AS title,
+       md5(CASE WHEN titled THEN trim(replace(replace(replace(replace(replace(replace(trim(regexp_extract(c, {_TITLED}, 2)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')) ELSE c END) AS rest FROM m
+""")
+def section_title(spark, sf_dir):
     return _section_titles(table(spark, sf_dir, "conversations"))
 
 
@@ -317,17 +306,11 @@ def target_quality_filter(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT a.doc_id, a.text AS source, b.text AS new_source FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 10 = 0)
+WITH p AS (SELECT a.doc_id, a.text AS source, b.text AS new_source FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
 SELECT doc_id AS context, md5(source) AS grounding_true, md5(new_source) AS grounding_false, 't' AS target FROM p
 UNION ALL SELECT doc_id, md5(new_source), md5(source), 'n' FROM p
 """)
 def counterfactual_explode(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return _with_next(docs.filter(F.col("doc_id") % 10 == 0), docs)
-
-
-@query()
-def counterfactual_explode_whole(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return _with_next(docs, docs)
 
@@ -349,18 +332,13 @@ def margin_accuracy(spark, sf_dir):
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS target, list_distinct(regexp_extract_all(lower(source || ' the of and'), '[\p{L}\p{N}_]+')) AS grounding FROM documents WHERE length(text) < 1500),
+WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS target, list_distinct(regexp_extract_all(lower(source || ' the of and'), '[\p{L}\p{N}_]+')) AS grounding FROM documents),
 f AS (SELECT word, count(*) AS n FROM (SELECT unnest(target) AS word FROM d) GROUP BY word),
 w AS (SELECT doc_id, unnest(CASE WHEN len(list_filter(target, lambda x: list_contains(grounding, x))) > 0 THEN list_filter(target, lambda x: list_contains(grounding, x)) ELSE target END) AS word FROM d),
 k AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(f.n, 1000000), word) AS nth FROM w LEFT JOIN f USING (word))
 SELECT d.doc_id, coalesce(k.word, 'n/a') AS control FROM d LEFT JOIN k ON k.doc_id = d.doc_id AND k.nth = 1
 """)
 def rarest_shared_token(spark, sf_dir):
-    return _rarest_shared(table(spark, sf_dir, "documents").filter(F.length("text") < 1500))
-
-
-@query()
-def rarest_shared_token_whole(spark, sf_dir):
     return _rarest_shared(table(spark, sf_dir, "documents"))
 
 
@@ -373,13 +351,8 @@ def _rarest_shared(docs: DataFrame) -> DataFrame:
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(text.STOP_WORDS["en"])))
 
 
-@query(rf"SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: w NOT IN ({_STOP})))) AS word FROM documents WHERE lang = 'en' AND length(text) < 3000")
+@query(rf"SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: w NOT IN ({_STOP})))) AS word FROM documents WHERE lang = 'en'")
 def stop_token_difference(spark, sf_dir):
-    return _without_stop_words(table(spark, sf_dir, "documents").filter((F.col("lang") == "en") & (F.length("text") < 3000)))
-
-
-@query()
-def stop_token_difference_whole(spark, sf_dir):
     return _without_stop_words(table(spark, sf_dir, "documents").filter(F.col("lang") == "en"))
 
 
@@ -471,13 +444,8 @@ def token_context(spark, sf_dir):
     return found.select("conv_id", "turn", F.array_join("c.tokens", " ").alias("tokens"), F.array_join(F.transform("c.action", lambda a: a.cast("string")), "").alias("actions"))
 
 
-@query("SELECT conv_id, turn, CAST(len(string_split(trim(text), ' ')) >= 8 AND NOT contains(text, 'Undid revision') AS BOOLEAN) AS accepted, (turn % 4 = 0 OR turn % 4 > 2 OR NOT starts_with(trim(text), '/*') OR ends_with(trim(text), '*/') OR regexp_matches(text, '(?i)(revert|undo|undid)')) AS rejected FROM conversations WHERE NOT regexp_matches(text, '[\\t\\r\\n\\x0b\\x0c]|  ') AND length(text) > 0")
+@query("SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n\\x0b\\x0c]+'), lambda w: w <> '')) >= 8 AND NOT contains(text, 'Undid revision') AS BOOLEAN) AS accepted, (turn % 4 = 0 OR turn % 4 > 2 OR NOT starts_with(trim(text), '/*') OR ends_with(trim(text), '*/') OR regexp_matches(text, '(?i)(revert|undo|undid)')) AS rejected FROM conversations")
 def comment_checks(spark, sf_dir):
-    return _comment_checks(table(spark, sf_dir, "conversations").filter(~F.regexp_like("text", F.lit("[\t\r\n\x0b\x0c]|  ")) & (F.length("text") > 0)))
-
-
-@query()
-def comment_checks_whole(spark, sf_dir):
     return _comment_checks(table(spark, sf_dir, "conversations"))
 
 
@@ -495,19 +463,14 @@ def tsv_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sinks.tsv_line(["doc_id", "lang", "source", "n_chars"]).alias("line"))
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS id, '<doc id=\"' || page_id || '\" url=\"http://w?curid=' || page_id || '\" title=\"' || url || '\">' || chr(10) || url || chr(10) || chr(10) || 'x' || chr(10) || '</doc>' || chr(10) AS doc FROM pages")
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, md5('<doc id=\"' || doc_id || '\" url=\"http://w?curid=' || doc_id || '\" title=\"' || source || '\">' || chr(10) || source || chr(10) || chr(10) || text || chr(10) || '</doc>' || chr(10)) AS doc FROM documents")
 def document_lines(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("title"), F.lit("x").alias("text"))
-    return rows.select("id", sinks.document_line("http://w").alias("doc"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), "text")
+    return rows.select("id", F.md5(sinks.document_line("http://w").cast("binary")).alias("doc"))
 
 
-@query("SELECT CAST(url AS VARCHAR) AS url, count(*) AS n FROM (SELECT l_partkey AS url FROM lineitem WHERE l_linenumber <= 3 UNION ALL SELECT l_suppkey FROM lineitem WHERE l_linenumber <= 3) GROUP BY url")
+@query("SELECT CAST(url AS VARCHAR) AS url, count(*) AS n FROM (SELECT l_partkey AS url FROM lineitem UNION ALL SELECT l_suppkey FROM lineitem) GROUP BY url")
 def url_explode(spark, sf_dir):
-    return _url_counts(table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3"))
-
-
-@query()
-def url_explode_whole(spark, sf_dir):
     return _url_counts(table(spark, sf_dir, "lineitem"))
 
 
@@ -535,21 +498,16 @@ def article_estimate(spark, sf_dir):
 
 
 _TRIM_SQL = """
-WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 20 AS g, CAST(l_suppkey % 700 AS BIGINT) AS c, CAST(l_partkey % 150 AS BIGINT) AS t FROM lineitem WHERE l_linenumber = 1),
+WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 20 AS g, CAST(l_suppkey % 700 AS BIGINT) AS c, CAST(l_partkey % 150 AS BIGINT) AS t FROM lineitem),
 o AS (SELECT *, greatest(g + c + t - 1024, 0) AS over_ FROM s),
 p AS (SELECT *, least(over_, abs(g - c)) AS by_gap FROM o),
 q AS (SELECT *, over_ - by_gap AS rest FROM p)
-SELECT l_orderkey, greatest(g - (CASE WHEN g > c THEN by_gap ELSE 0 END + rest // 2), 0) AS kept_g, greatest(c - (CASE WHEN c >= g THEN by_gap ELSE 0 END + (rest + 1) // 2), 0) AS kept_c FROM q
+SELECT l_orderkey, l_linenumber, greatest(g - (CASE WHEN g > c THEN by_gap ELSE 0 END + rest // 2), 0) AS kept_g, greatest(c - (CASE WHEN c >= g THEN by_gap ELSE 0 END + (rest + 1) // 2), 0) AS kept_c FROM q
 """
 
 
 @query(_TRIM_SQL)
 def trim_lengths(spark, sf_dir):
-    return _kept_lengths(table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")).drop("l_linenumber")
-
-
-@query()
-def trim_lengths_whole(spark, sf_dir):
     return _kept_lengths(table(spark, sf_dir, "lineitem"))
 
 
@@ -582,10 +540,7 @@ b AS (SELECT page_id, seq, j, t[j] AS w FROM (SELECT page_id, seq, t, unnest(ran
 SELECT a.page_id, a.seq, count(*) AS near_matches FROM a JOIN b ON a.page_id = b.page_id AND a.seq = b.seq AND a.w = b.w AND b.j >= a.i - 5 AND b.j < a.i + 5 GROUP BY a.page_id, a.seq
 """)
 def band_join(spark, sf_dir):
-    rows = _pairs(spark, sf_dir)
-    a = rows.select("page_id", "seq", F.posexplode(text.words(F.col("src_text"))).alias("i", "w"))
-    b = rows.select("page_id", "seq", F.posexplode(text.words(F.col("tgt_text"))).alias("j", "w"))
-    near = a.join(b, ["page_id", "seq", "w"]).filter((F.col("j") >= F.col("i") - 5) & (F.col("j") < F.col("i") + 5))
+    near = edits.near_equals(_pairs(spark, sf_dir), ["page_id", "seq"], text.words(F.col("src_text")), text.words(F.col("tgt_text")), 5)
     return near.groupBy("page_id", "seq").agg(F.count(F.lit(1)).alias("near_matches"))
 
 
@@ -626,9 +581,9 @@ def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     n = pages.count()
-    docs = table(spark, sf_dir, "documents").filter("length(text) > 100")
+    docs, half = table(spark, sf_dir, "documents"), F.floor(F.length("text") / 2).cast("int")
     cited = lambda shift, name: pages.select(((F.col("page_id") + shift) % n).alias("own_page"), F.array("url").alias(name))
-    edits_ = docs.select(F.col("doc_id").cast("string").alias("rev_id"), (F.col("doc_id") % n).alias("own_page"), F.substring("text", 1, 60).alias("prefix"), F.substring("text", 61, 200).alias("edited"), F.reverse(F.substring("text", 61, 100)).alias("original"))
+    edits_ = docs.select(F.col("doc_id").cast("string").alias("rev_id"), (F.col("doc_id") % n).alias("own_page"), F.substring("text", F.lit(1), half).alias("prefix"), F.substring("text", half + 1, F.length("text")).alias("edited"), F.reverse(F.substring("text", half + 1, F.length("text"))).alias("original"))
     return build_pairs(edits_.join(cited(0, "urls_edit"), "own_page").join(cited(1, "urls_orig"), "own_page"), pages)
 
 
@@ -651,12 +606,8 @@ def document_languages(spark, sf_dir):
 
 @query("SELECT c.conv_id, c.turn, coalesce((SELECT max(p.turn) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn AND p.role = 'user'), -1) AS before, coalesce((SELECT min(p.turn) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn > c.turn AND p.role = 'user'), -1) AS after FROM conversations c")
 def conserved_neighbours(spark, sf_dir):
-    from pyspark.sql import Window
-
-    mark = F.when(F.col("role") == "user", F.col("turn"))
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.last(mark, True).over(before), F.lit(-1)).alias("before"), F.coalesce(F.first(mark, True).over(after), F.lit(-1)).alias("after"))
+    rows = edits.marked_neighbours(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.col("turn")))
+    return rows.select("conv_id", "turn", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("after", F.lit(-1)).alias("after"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

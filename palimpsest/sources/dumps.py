@@ -53,13 +53,14 @@ def read_revisions(spark: SparkSession, path: str) -> DataFrame:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of a dump: id, revid, title, ns, redirect, categories and the text of the latest revision, unescaped.
 
-    Of pages with one id, one stays.
+    Of pages with one id, that with the greatest revision id stays; of equal ones, that with the greatest title and text.
     """
     rows = spark.read.format("xml").option("rowTag", "page").schema(_PAGE).load(path)
     last = F.element_at("revision", -1)
     text = F.coalesce(last["text"], F.lit(""))
     found = rows.select("id", last["id"].alias("revid"), "title", "ns", F.col("redirect._title").alias("redirect"), F.transform(F.regexp_extract_all(text, F.lit(r"\[\[Category:([^\]|]+)"), F.lit(1)), lambda c: F.trim(c)).alias("categories"), text.alias("text"))
-    return found.dropDuplicates(["id"])
+    best = F.max_by(F.struct(*found.columns), F.struct(F.col("revid").try_cast("long"), "title", "text"))
+    return found.groupBy("id").agg(best.alias("own")).select("own.*")
 
 
 def page_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -103,9 +104,12 @@ def dump_files(spark: SparkSession, path: str, start: int = 1, end: int | None =
 
 
 def numbered(rows: DataFrame, by: str, start: int = 1, end: int | None = None) -> DataFrame:
-    """rows with idx from 1 in the order of `by`, and only those from start to end. For lists of files, not for data."""
-    found = rows.withColumn("idx", F.row_number().over(Window.orderBy(by))).filter(F.col("idx") >= start)
-    return found if end is None else found.filter(F.col("idx") <= end)
+    """rows with idx from 1 in the order of `by`, and only those from start to end.
+
+    With an end, each task keeps its first rows up to it before they meet. For lists of files, not for data.
+    """
+    few = rows if end is None else rows.orderBy(by).limit(end)
+    return few.withColumn("idx", F.row_number().over(Window.orderBy(by))).filter(F.col("idx") >= start)
 
 
 def wanted_files(manifest: DataFrame, present: DataFrame, by: str = "file") -> DataFrame:
