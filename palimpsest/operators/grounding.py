@@ -56,6 +56,11 @@ def longest_text(rows: DataFrame, key: str, value: str = "text") -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, F.struct(F.length(value), value)).alias(value))
 
 
+def first_hit(rows: DataFrame, key: str, priority: Sequence[str], value: str) -> DataFrame:
+    """(key, value): of each key the value that isn't null with the least priority; keys without one go."""
+    return rows.filter(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, F.struct(*priority)).alias(value))
+
+
 def right_biased_merge(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
     """All keys; a key in both has right's row."""
     return right.unionByName(left.join(right.select(*key).distinct(), list(key), "left_anti"))

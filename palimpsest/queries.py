@@ -66,10 +66,9 @@ def page_forward_fill(spark, sf_dir):
     return chain(rows, [edits.forward_fill("mark", ["user_id"], ["ts", "event_id"], "carried")]).select("event_id", "user_id", F.coalesce("carried", F.lit(-1)).alias("carried"))
 
 
-@query("SELECT doc_id, source FROM documents WHERE NOT (contains(text, 'on the') OR contains(text, 'License')) AND length(text) >= 10")
+@query("SELECT doc_id, source FROM documents WHERE NOT (contains(text, 'on the') OR contains(text, 'License'))")
 def title_containment_filter(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter(F.length("text") >= 10)
-    return chain(rows, [filters.exclude_titles(["on the", "License"], "text")]).select("doc_id", "source")
+    return chain(table(spark, sf_dir, "documents"), [filters.exclude_titles(["on the", "License"], "text")]).select("doc_id", "source")
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE length(text) > 0 AND NOT (contains(text, 'the ') OR contains(text, 'and'))")

@@ -163,8 +163,12 @@ def split_response(record: Column) -> Column:
     return F.when((F.size(parts) == 3) & F.contains(F.get(parts, 1), F.lit("200 OK")), F.struct(F.get(parts, 0).alias("warc"), F.get(parts, 1).alias("http"), F.get(parts, 2).alias("body")))
 
 
-def fetch(metas: DataFrame, fetcher, schema: str = "url string, html string") -> DataFrame:
-    """Pages for crawl metas by fetcher(dict) -> dict or None, in the tasks; rows that fail are left out."""
+def fetch_tried(metas: DataFrame, fetcher, schema: str = "url string, html string") -> DataFrame:
+    """A row for each meta, by fetcher(dict) -> dict or None in the tasks: the page's columns, and error.
+
+    A page that can't be had is a page less: its columns are null, and error says why ('empty' where the fetcher gave none).
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
         import pandas as pd
@@ -173,11 +177,21 @@ def fetch(metas: DataFrame, fetcher, schema: str = "url string, html string") ->
             found = []
             for row in batch.to_dict("records"):
                 try:
-                    got = fetcher(row)
-                except Exception:  # noqa: BLE001  a page that can't be had is a page less
-                    got = None
-                if got:
-                    found.append(got)
-            yield pd.DataFrame(found, columns=[f.split()[0] for f in schema.split(", ")])
-
-    return metas.mapInPandas(run, schema)
+                    got, error = fetcher(row), "empty"
+                except Exception as e:  # noqa: BLE001  counted by fetch_counts()
+                    got, error = None, f"{type(e).__name__}: {e}"
+                found.append((*[got.get(n) for n in names], None) if got else (*[None] * len(names), error))
+            yield pd.DataFrame(found, columns=[*names, "error"])
+
+    return metas.mapInPandas(run, f"{schema}, error string")
+
+
+def fetch(metas: DataFrame, fetcher, schema: str = "url string, html string") -> DataFrame:
+    """Pages for crawl metas by fetcher(dict) -> dict or None, in the tasks; rows that fail are left out (see fetch_tried())."""
+    return fetch_tried(metas, fetcher, schema).filter("error IS NULL").drop("error")
+
+
+def fetch_counts(tried: DataFrame) -> DataFrame:
+    """One row: tried, found, empty and failed of fetch_tried()."""
+    none, empty = F.col("error").isNull(), F.col("error") == "empty"
+    return tried.agg(F.count(F.lit(1)).alias("tried"), F.count_if(none).alias("found"), F.count_if(empty).alias("empty"), F.count_if(~none & ~empty).alias("failed"))
