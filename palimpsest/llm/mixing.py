@@ -7,11 +7,13 @@ is 0 or 1; the totals don't change on the way. Flights run in blocks of BLOCK_RO
 leaves (at most two documents) flies again with what FAN_IN other blocks left, level by level, until one block a source
 remains. Landing rounds those last two; what that adds to or takes from the source's words is laid on its reserve, about
 RESERVE of its smaller documents that haven't flown yet: their probabilities are raised or lowered together, and they fly
-and land too. So the words taken miss the target by a small document at most, while each draw stays unbiased. Where the
-reserve can't make up for a landing (a source that is mostly one document), the nearest landing is taken instead.
+and land too. So the words taken miss the target by a small document at most. Last, documents of the reserve are taken, left
+or exchanged for one another while that comes nearer to the target; up to there each draw is unbiased. Where the reserve can't
+make up for a landing (a source that is mostly one document), the nearest landing is taken instead.
 """
 
 import random
+from bisect import bisect_left
 from itertools import product
 
 import pandas as pd
@@ -149,6 +151,28 @@ def _fly(seed: int, level: int):
     return run
 
 
+def _nearer(ends: list[float], size: list[int], free: range, lacks: float) -> list[float]:
+    """ends with a few of the free ones taken, left, or exchanged for another, while that brings the words they lack nearer to 0."""
+    ends = list(ends)
+    while True:
+        ins = sorted((size[i], i) for i in free if ends[i] == 0)
+        outs = [(0, -1), *((size[i], i) for i in free if ends[i] == 1)]
+        best, change = abs(lacks), None
+        for gone, o in outs:
+            at = bisect_left(ins, (lacks + gone, -1))
+            for come, i in [(0, -1), *ins[max(0, at - 1) : at + 1]]:
+                if abs(lacks + gone - come) < best - 0.5:
+                    best, change = abs(lacks + gone - come), (o, i, come - gone)
+        if change is None:
+            return ends
+        o, i, more = change
+        lacks -= more
+        if o >= 0:
+            ends[o] = 0.0
+        if i >= 0:
+            ends[i] = 1.0
+
+
 def _land(seed: int):
     """Of one source: what its flights left lands, then its reserve makes up for the words that took or gave."""
 
@@ -167,7 +191,8 @@ def _land(seed: int):
             landed = min(ends, key=beyond)
         lacks = lacks_of(landed)
         raised = [min(1.0, max(0.0, q + lacks / held)) if held else q for q in p[n:]]
-        rows["p"] = landed + cube_flight(raised, x[n:], draw, landing=True)
+        ends = landed + cube_flight(raised, x[n:], draw, landing=True)
+        rows["p"] = _nearer(ends, size, range(n, len(size)), lacks_of(ends))
         return rows
 
     return run
