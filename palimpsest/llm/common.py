@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 #: The white space of the text contracts: space, and tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
-#: A key with more than 1/HOT_PARTS of the rows (and over HOT_ROWS of them) is hot; there are at most HOT_PARTS such keys.
+#: A key with more than 1/HOT_PARTS of the rows (and over HOT_ROWS of them) is hot, and one with over MOST_ROWS of them, if that
+#: makes at most MOST_KEYS hot keys.
 HOT_PARTS = 1000
 HOT_ROWS = 2000
+MOST_ROWS = 1_000_000
+MOST_KEYS = 100_000
 
 ARROW_ROWS = 1000
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -110,11 +113,11 @@ def shuffle_parts(df: DataFrame) -> int:
 def join_counted(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
     """Inner join of left with right, whose keys are unique and whose column `rows` counts the left rows of each key.
 
-    Keys with over 1/HOT_PARTS of the `total` left rows are joined by broadcast (at most HOT_PARTS rows, so the
-    broadcast is bounded); all others by Spark's own choice, each task then getting a small share of the rows.
+    Hot keys (at most MOST_KEYS rows, so the broadcast is bounded) are joined by broadcast; all others by Spark's own
+    choice, each task then getting a small share of the rows.
     Both sides are read twice if there are such keys: pass tables, not long plans.
     """
-    most = max(total // HOT_PARTS, HOT_ROWS)
+    most = max(min(total // HOT_PARTS, MOST_ROWS), HOT_ROWS, total // MOST_KEYS)
     hot = F.col(rows) > most
     if total <= most or not right.filter(hot).limit(1).count():
         return left.join(right, on)

@@ -257,7 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     """A model from labels (doc_id, toxic) of rows that aren't held out, and the texts of docs (doc_id, text).
 
     At most max_toxic and max_clean labelled documents, those whose doc_ids have the least hashes, come to the driver.
-    Null labels and doc_ids count as not labelled; a doc_id labelled twice is toxic if either label says so.
+    Null labels and doc_ids count as not labelled; a doc_id labelled twice is toxic if either label says so. Of several texts
+    with one doc_id, the least is learnt from.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = common.materialize(known)
