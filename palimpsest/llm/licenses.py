@@ -56,6 +56,19 @@ TEMPLATES = (
 )
 
 
+def read_templates(spark, path: str, most_bytes: int = 4 << 20) -> list[tuple[str, str]]:
+    """(name, text) of a folder's licence files, for scan(): the name is the file's, without .txt; whole licences among them.
+
+    Templates are literals of the plan, so more than most_bytes of them are an error.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes of licence templates are over {most_bytes}")
+    rows = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").collect()
+    return sorted((r.name.removesuffix(".txt"), bytes(r.content).decode("utf-8", "replace")) for r in rows)
+
+
 def words_of(text: str) -> list[str]:
     """The words of a template, as normalised() makes them of a column."""
     return [w for w in re.split(r"[\W_]+", text.lower()) if w]

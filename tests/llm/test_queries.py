@@ -163,6 +163,22 @@ def test_license_scan_of_empty_and_repeated_rows(spark):
     assert sorted(len(r.matches) for r in got) == [0, 1, 1, 1] and licenses.scan(df.limit(0)).count() == 0
 
 
+def test_whole_licences_from_files(spark, tmp_path):
+    rnd = random.Random(4)
+    whole = lambda k: "\n\n".join(" ".join(f"{rnd.choice(['grant', 'notice', 'you', 'work', 'terms'])}{rnd.randint(0, k)}" for _ in range(90)) for _ in range(12))
+    texts = {"Long-1.0": whole(60), "Long-2.0": whole(90)}
+    for name, t in texts.items():
+        (tmp_path / f"{name}.txt").write_text(t)
+    own = licenses.read_templates(spark, str(tmp_path))
+    assert [n for n, _ in own] == sorted(texts)
+    changed = texts["Long-2.0"].replace("grant1", "permit1")
+    rows = [(1, f"before it\n\n{texts['Long-1.0']}\n\nafter it", "en", "s", 1), (2, changed, "en", "s", 1), (3, texts["Long-1.0"][: len(texts["Long-1.0"]) // 2], "en", "s", 1)]
+    got = {r.doc_id: [m.license for m in r.matches] for r in licenses.scan(spark.createDataFrame(rows, SCHEMA), templates=own).collect()}
+    assert got == {1: ["Long-1.0"], 2: ["Long-2.0"], 3: []}
+    with pytest.raises(ValueError):
+        licenses.read_templates(spark, str(tmp_path), most_bytes=100)
+
+
 def test_fingerprints_of_empty_long_and_clashing_rows(spark):
     long = "\n".join(f"line {i} has its own words, {i * 7}." for i in range(20_000))
     df = spark.createDataFrame([(long, long + "\nx"), ("", None), ("same", "same"), ("same", "same")], "a string, b string").withColumns({c: F.lit(c) for c in ("own_a", "own_b", "changed", "fingerprint")})
