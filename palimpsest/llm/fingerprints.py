@@ -23,6 +23,8 @@ SEGMENT_CELLS = 12
 #: Documents in a range of doc_ids.
 RANGE_ROWS = 500
 MAX_RANGES = 10_000
+#: Keys a range that are sampled for the bounds.
+SAMPLE = 20
 #: Ranges are put together to tasks of about so many rows.
 TASK_ROWS = 4000
 _FINE = r"[^\n]{16,40}?(?=[ .!?,\n])[.!?,]*|[^\n]{1,40}|\n"
@@ -171,8 +173,7 @@ def with_next(df: DataFrame, doc_id: str, text: str, out: str, range_rows: int =
     keyed = df.withColumn(low, F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))).withColumn(h, F.xxhash64(common.text_or_empty(text)))
     n = df.count()
     ranges = int(min(MAX_RANGES, n // range_rows + 1))
-    firsts = keyed.select(low, h).repartitionByRange(ranges, low, h).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(low, h)).alias("first"))
-    bounds = sorted(tuple(r.first) for r in firsts.select("first").collect()) or [(0, 0)]
+    bounds = _firsts(keyed.select(low, h), ranges) or [(0, 0)]
     given = let(F.lit([i for i, _ in bounds]), lambda ids: F.struct(ids.alias("ids"), F.lit([x for _, x in bounds]).alias("hashes")))
     place = _place(F.col(low), F.col(h), given, len(bounds))
     opens = let(given, lambda g: (F.get(g["ids"], F.col(span)) == F.col(low)) & (F.get(g["hashes"], F.col(span)) == F.col(h)))
@@ -184,6 +185,18 @@ def with_next(df: DataFrame, doc_id: str, text: str, out: str, range_rows: int =
     return dealt.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, n // TASK_ROWS))
 
 
+def _firsts(keys: DataFrame, ranges: int) -> list[tuple[int, int]]:
+    """The first keys of about so many ranges, in order; SAMPLE keys a range are sent to the driver to find them."""
+    conf, name = keys.sparkSession.conf, "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = conf.get(name)
+    conf.set(name, str(SAMPLE))
+    try:
+        found = keys.repartitionByRange(ranges, *keys.columns).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*keys.columns)).alias("first"))
+        return sorted(tuple(r.first) for r in found.select("first").collect())
+    finally:
+        conf.set(name, before)
+
+
 def _place(x: Column, h: Column, given: Column, n: int) -> Column:
     """The number of the last of n bounds (ids, hashes) that isn't over (x, h), by halving."""
     def step(g: Column):
