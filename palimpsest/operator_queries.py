@@ -284,3 +284,43 @@ def projected(spark, sf_dir):
 def backed_up_results(spark, sf_dir):
     have = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
     return dumps.merge_results(have, table(spark, sf_dir, "documents").select("doc_id", F.lit(-1).alias("quality")), "doc_id")
+
+
+def _dump(spark, sf_dir) -> str:
+    """The conversations as an XML dump in the shared folder."""
+    rows = table(spark, sf_dir, "conversations")
+    made = rows.select(F.concat(F.lit("Page "), "conv_id").alias("page_title"), F.col("conv_id").alias("page_id"), F.col("turn").alias("seq"), (F.col("conv_id") * 1000 + F.col("turn")).alias("rev_id"), (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent_id"), F.lit("2020-01-01T00:00:00Z").alias("timestamp"), F.col("role").alias("username"), F.concat(F.lit("/* <a> */ & "), "role").alias("comment"), "text")
+    path = sinks.scratch_dir(spark, "dump")
+    sinks.write_dump(made, path, "bzip2")
+    return path
+
+
+_ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"SELECT 'Page ' || conv_id AS page_title, CAST(conv_id AS VARCHAR) AS page_id, CAST(conv_id * 1000 + turn AS VARCHAR) AS rev_id, CAST(conv_id * 1000 + turn - 1 AS VARCHAR) AS parent_id, role AS username, '/* &lt;a&gt; */ &amp; ' || role AS comment, md5({_ESCAPED.format('text')}) AS text_md5 FROM conversations")
+def dump_revisions(spark, sf_dir):
+    """The tables' revisions, written as a compressed dump and read back in splits."""
+    rows = dumps.read_revisions(spark, _dump(spark, sf_dir))
+    return rows.select("page_title", "page_id", "rev_id", "parent_id", "username", "comment", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"SELECT * FROM (SELECT CAST(conv_id AS VARCHAR) AS page_id, CAST(conv_id * 1000 + turn AS VARCHAR) AS rev_id, md5({_ESCAPED.format('lag(text) OVER w')}) AS src_md5, md5({_ESCAPED.format('text')}) AS tgt_md5, row_number() OVER w AS nth FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE nth > 1".replace("SELECT * FROM", "SELECT page_id, rev_id, src_md5, tgt_md5 FROM"))
+def dump_pairs(spark, sf_dir):
+    """Consecutive revisions of a dump's pages."""
+    pairs = edits.revision_pairs(dumps.read_revisions(spark, _dump(spark, sf_dir)))
+    return pairs.select("page_id", "rev_id", *[F.md5(F.col(f"{s}_text").cast("binary")).alias(f"{s}_md5") for s in ("src", "tgt")])
+
+
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS id, max(CAST(conv_id * 1000 + turn AS VARCHAR)) AS revid, 'Page ' || conv_id AS title, '0' AS ns, md5(arg_max(trim(text, ' ' || chr(9) || chr(10) || chr(13)), turn)) AS text_md5 FROM conversations GROUP BY conv_id".replace("max(CAST(conv_id * 1000 + turn AS VARCHAR))", "CAST(max(conv_id * 1000 + turn) AS VARCHAR)"))
+def dump_pages(spark, sf_dir):
+    """The latest revision of each page of a dump, unescaped."""
+    pages = dumps.read_pages(spark, _dump(spark, sf_dir))
+    return pages.select("id", "revid", "title", "ns", F.md5(F.btrim("text", F.lit(" \t\n\r")).cast("binary")).alias("text_md5"))
+
+
+@query("SELECT count(*) AS pages, CAST(sum(n) AS BIGINT) AS revisions FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
+def dump_page_blocks(spark, sf_dir):
+    """Whole page elements, and the revisions in them."""
+    blocks = dumps.page_blocks(spark, _dump(spark, sf_dir))
+    return blocks.agg(F.count(F.lit(1)).alias("pages"), F.sum(F.regexp_count("page", F.lit("<revision>"))).cast("long").alias("revisions"))

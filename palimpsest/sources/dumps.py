@@ -6,8 +6,10 @@ are the cluster's. Downloads aren't part of the engine: wanted_files() lists wha
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,24 +32,51 @@ def xml_text(block: Column, tag: str) -> Column:
     return F.regexp_extract(block, rf"(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>", 1)
 
 
+#: Rows of a split that seq can number, and splits and files whose pages may be broadcast.
+SPLIT_ROWS = 1 << 24
+BROADCAST_SPLITS = 100_000
+_TITLE, _ID = (re.compile(rf"(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>") for tag in ("title", "id"))
+_FILLED = "value string, file string, block long, seq long, page_title string, page_id string"
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a split in order, each with the title and id of the last page that began in the split, and its number."""
+    at, n, page = None, 0, (None, None)
+    for batch in batches:
+        rows = []
+        for value, file, block in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "block")), strict=True):
+            if at != (file, block):
+                at, n, page = (file, block), 0, (None, None)
+            _, begins, head = value.rpartition("<page>")
+            if begins:
+                page = tuple(m[1] if (m := tag.search(head)) else "" for tag in (_TITLE, _ID))
+            if n >= SPLIT_ROWS:
+                raise ValueError(f"over {SPLIT_ROWS} revisions in one split of {file}: lower spark.sql.files.maxPartitionBytes")
+            rows.append((block * SPLIT_ROWS + n, *page))
+            n += 1
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([batch.column("value"), batch.column("file"), batch.column("block"), *columns], names=["value", "file", "block", "seq", "page_title", "page_id"])
+
+
 def read_revisions(spark: SparkSession, path: str) -> DataFrame:
-    """Revisions of XML dumps (plain, gz or bz2), in file order: REVISION's columns, and file and seq to order by.
+    """Revisions of XML dumps (plain, gz or bz2): REVISION's columns, and file and seq, which tell their order in the dump.
 
-    Split at the end of each revision, so a page's history may spread over tasks; its title and id are carried forward
-    within the file. Text stays XML-escaped. Missing fields are ''.
+    Split at the end of each revision, so a page's history may spread over tasks, and each split is read in order by one
+    task, without a shuffle. A split that begins within a page has its title and id from the last split that began one: a
+    small table of splits. seq grows within a file, with gaps. Text stays XML-escaped. Missing fields are ''.
     """
     raw = spark.read.option("lineSep", "</revision>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    raw = raw.withColumn("id", F.monotonically_increasing_id())
-    order = Window.partitionBy("file").orderBy("block", "id")
-    starts = F.contains("value", F.lit("<page>"))
-    head = F.substring_index("value", "<page>", -1)
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    carried = raw.withColumn("seq", F.row_number().over(order)).withColumn("page_title", F.last(F.when(starts, xml_text(head, "title")), True).over(so_far)).withColumn("page_id", F.last(F.when(starts, xml_text(head, "id")), True).over(so_far))
-    rev = carried.filter(F.contains("value", F.lit("<revision>"))).withColumn("rev", F.substring_index("value", "<revision>", -1))
+    filled = raw.mapInArrow(_filled, _FILLED)
+    last = filled.filter("page_id IS NOT NULL").groupBy("file", "block").agg(F.max_by(F.struct("page_title", "page_id"), "seq").alias("page"))
+    every = raw.select("file", "block").distinct().join(last, ["file", "block"], "left")
+    carried = every.withColumn("page", F.last("page", True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
+    few = raw.rdd.getNumPartitions() + len(raw.inputFiles()) <= BROADCAST_SPLITS
+    rows = filled.filter(F.contains("value", F.lit("<revision>"))).join(F.broadcast(carried) if few else carried, ["file", "block"], "left")
+    rows = rows.withColumns({c: F.coalesce(c, f"page.{c}") for c in ("page_title", "page_id")}).withColumn("rev", F.substring_index("value", "<revision>", -1))
     contributor = xml_text(F.col("rev"), "contributor")
     outside = F.regexp_replace("rev", "(?s)<contributor.*?</contributor>", "")
     fields = {"rev_id": xml_text(outside, "id"), "parent_id": xml_text(outside, "parentid"), "timestamp": xml_text(outside, "timestamp"), "username": xml_text(contributor, "username"), "userid": xml_text(contributor, "id"), "userip": xml_text(contributor, "ip"), "comment": xml_text(outside, "comment"), "text": xml_text(outside, "text")}
-    return rev.select("page_title", "page_id", *[c.alias(n) for n, c in fields.items()], "file", "seq")
+    return rows.select("page_title", "page_id", *[c.alias(n) for n, c in fields.items()], "file", "seq")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

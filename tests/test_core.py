@@ -472,3 +472,21 @@ def test_queries_match_sql(spark):
                 differ.append(name)
     assert not differ
     assert math.isfinite(len(QUERIES))
+
+
+def test_revisions_in_small_splits(spark, tmp_path):
+    """Splits that begin within pages know their page, and seq keeps the order."""
+    rows = [(f"T{p}", p, r, 100 * p + r, 100 * p + r - 1, "t", "u", None, f"text {p} {r} " * (r % 5)) for p in range(30) for r in range(1, 25)]
+    sinks.write_dump(spark.createDataFrame(rows, "page_title string, page_id int, seq int, rev_id int, parent_id int, timestamp string, username string, comment string, text string").coalesce(1), str(tmp_path / "d"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700", "5000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = dumps.read_revisions(spark, str(tmp_path / "d")).collect()
+            assert sorted((r.page_title, int(r.page_id), int(r.rev_id), r.text) for r in got) == sorted((x[0], x[1], x[3], x[8]) for x in rows)
+            of = {}
+            for r in sorted(got, key=lambda r: (r.file, r.seq)):
+                assert of.get(r.page_id, -1) < int(r.rev_id)
+                of[r.page_id] = int(r.rev_id)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
