@@ -106,6 +106,20 @@ def aligned_groups(source: list[list[str]], target: list[list[str]], window: int
     return sorted(((a, b) for a, b in found.values() if a and b), key=lambda g: g[0][0])
 
 
+_GROUPS = T.ArrayType(T.StructType([T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("source", "target")]))
+
+
+def aligned_column(source, target, window: int, cutoff: float):
+    """aligned_groups() as a column: array of (source, target), the sentence numbers of each group; null arrays count as empty."""
+
+    @F.pandas_udf(_GROUPS)
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        sents = lambda x: [list(s) for s in x] if x is not None else []
+        return pd.Series([[{"source": s, "target": t} for s, t in aligned_groups(sents(x), sents(y), window, cutoff)] for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return run(source, target)
+
+
 def first_divergence(original: str, edited: str, at_space: bool = False) -> int:
     """The first offset at which two texts differ; at_space: pulled back behind the last white space before it."""
     n = min(len(original), len(edited))

@@ -73,6 +73,53 @@ def grown_column(sents, first, last, most_tokens: int = 200, most_added: int = 2
     return run(sents, first, last)
 
 
+_LOCATED = _WINDOW
+_TRIMMED = T.StructType([T.StructField(n, T.ArrayType(T.ArrayType(T.StringType()))) for n in ("source", "target")] + [T.StructField("before", T.IntegerType())])
+
+
+def _sents(x) -> list[list[str]]:
+    return [list(t) for t in x] if x is not None else []
+
+
+def located_column(sents, first, last):
+    """located() as a column: struct of sents and before; null fields where the sentences aren't found."""
+
+    @F.pandas_udf(_LOCATED)
+    def run(s: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = [(None if i is None or j is None else located(_sents(x), list(i), list(j))) or (None, None) for x, i, j in zip(s, a, b, strict=True)]
+        return pd.DataFrame({"sents": [r[0] for r in rows], "before": pd.array([r[1] for r in rows], dtype="Int32")})
+
+    return run(sents, first, last)
+
+
+def trimmed_column(source, target, most_tokens: int = 200):
+    """trimmed() as a column: struct of source, target and before; null fields where the sides stay too long."""
+
+    @F.pandas_udf(_TRIMMED)
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = [trimmed(_sents(x), _sents(y), most_tokens) or (None, None, None) for x, y in zip(a, b, strict=True)]
+        return pd.DataFrame({"source": [r[0] for r in rows], "target": [r[1] for r in rows], "before": pd.array([r[2] for r in rows], dtype="Int32")})
+
+    return run(source, target)
+
+
+def rebased_column(diff, before):
+    """rebased() as a column, of built-in functions."""
+    moved = F.transform(diff, lambda i: i - before)
+    return F.when(F.get(moved, 0) == -1, F.slice(moved, 2, F.size(moved))).otherwise(moved)
+
+
+def first_changed_column(original, edited, text):
+    """first_changed_sentence() as a column."""
+
+    @F.pandas_udf(T.IntegerType())
+    def run(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
+        plain = lambda x: list(x) if x is not None else []
+        return pd.Series([first_changed_sentence(plain(x), plain(y), z or "") for x, y, z in zip(a, b, t, strict=True)], dtype="int32")
+
+    return run(original, edited, text)
+
+
 _MARK = re.compile(r"<\|REF\|.*?\|>")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions import text
+from palimpsest.functions import text, windows
 from palimpsest.operators import edits, filters, grounding, scoring
 from palimpsest.pipeline import chain, flat_map
 from palimpsest.queries import ORACLE_SQL, QUERIES, query, table
@@ -324,3 +324,45 @@ def dump_page_blocks(spark, sf_dir):
     """Whole page elements, and the revisions in them."""
     blocks = dumps.page_blocks(spark, _dump(spark, sf_dir))
     return blocks.agg(F.count(F.lit(1)).alias("pages"), F.sum(F.regexp_count("page", F.lit("<revision>"))).cast("long").alias("revisions"))
+
+
+def _sentence_lists(spark, sf_dir) -> DataFrame:
+    """Orders as two sentences on the source side; as target both (kind 0), both swapped (1), the second alone (2), the first twice (3)."""
+    o = table(spark, sf_dir, "orders").withColumn("kind", F.pmod("o_orderkey", F.lit(4)))
+    a = F.array(*[F.concat(F.lit(f"a{i}_"), "o_orderkey") for i in range(5)])
+    b = F.array(*[F.concat(F.lit(f"b{i}_"), "o_orderstatus") for i in range(6)])
+    target = F.when(F.col("kind") == 0, F.array(a, b)).when(F.col("kind") == 1, F.array(b, a)).when(F.col("kind") == 2, F.array(b)).otherwise(F.array(a, a))
+    return o.select("o_orderkey", "kind", F.array(a, b).alias("src_sents"), target.alias("tgt_sents"))
+
+
+@query("SELECT o_orderkey, unnest(CASE o_orderkey % 4 WHEN 0 THEN ['0>0', '1>1'] WHEN 1 THEN ['0>1', '1>0'] WHEN 2 THEN ['1>0'] ELSE ['0>0,1'] END) AS matched FROM orders")
+def aligned_sentences(spark, sf_dir):
+    """Groups of matching sentences, as connected components."""
+    rows = edits.align_sentences(5, 0.5, 2)(_sentence_lists(spark, sf_dir))
+    shown = lambda c: F.array_join(F.col(f"{c}.numbers").cast("array<string>"), ",")
+    return rows.select("o_orderkey", F.concat(shown("source"), F.lit(">"), shown("target")).alias("matched"))
+
+
+@query("SELECT o_orderkey, CAST(unnest([0, 1]) AS INTEGER) AS i, unnest(CASE o_orderkey % 4 WHEN 0 THEN [1.0::DOUBLE, 1.0] WHEN 1 THEN [1.0, 1.0] WHEN 2 THEN [0.0, 1.0] ELSE [1.0, 0.0] END) AS score, unnest(CASE o_orderkey % 4 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN ['a', 'b'] WHEN 2 THEN ['b', 'b'] ELSE ['a', 'a'] END) AS target FROM orders")
+def best_matches(spark, sf_dir):
+    """Of each source sentence the target sentence with the best BLEU, of equal ones the first."""
+    rows = edits.match_sentences(5, 2)(_sentence_lists(spark, sf_dir))
+    return rows.select("o_orderkey", "i", F.round("match_score", 6).alias("score"), F.substring("target.sentence", 1, 1).alias("target"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id ORDER BY min(turn), conv_id LIMIT 30)")
+def first_pages(spark, sf_dir):
+    return filters.first_pages(30, "conv_id", ["turn"])(table(spark, sf_dir, "conversations")).select("conv_id", "turn")
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 5 WHEN 2 THEN 0 WHEN 3 THEN 5 END AS before, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS left_over FROM orders
+""")
+def trimmed_sides(spark, sf_dir):
+    """Sentences that both sides share at their starts and ends go, by turns, until no side has over ten of its eleven tokens.
+
+    A turn takes one from the start and one from the end; where none are shared, the sides stay too long: null.
+    """
+    rows = _sentence_lists(spark, sf_dir).withColumn("t", windows.trimmed_column("src_sents", "tgt_sents", 10))
+    left = F.when(F.col("t.source").isNull(), 2).otherwise(F.size("t.source"))
+    return rows.select("o_orderkey", F.col("t.before").alias("before"), left.alias("left_over"))

@@ -194,6 +194,33 @@ def match_sentences(window: int = 5, context: int = 20) -> Transform:
     return run
 
 
+def align_sentences(window: int = 5, cutoff: float = 0.5, context: int = 20) -> Transform:
+    """One row for each group of sentences that match across the two sides (BLEU over the cutoff in either direction, positions
+    within the window): struct columns source and target with numbers, tokens and contexts."""
+
+    def side(sents: str, numbers: str):
+        at, values = F.col(f"own_group.{numbers}"), F.col(sents)
+        lo, hi = F.array_min(at), F.array_max(at) + 1
+        tokens = F.flatten(F.transform(at, lambda i: F.get(values, i)))
+        return F.struct(at.alias("numbers"), tokens.alias("tokens"), arrays.py_slice(values, F.greatest(lo - context, F.lit(0)), lo).alias("left_context"), arrays.py_slice(values, hi, hi + context).alias("right_context"))
+
+    def run(df: DataFrame) -> DataFrame:
+        rows = df.withColumn("own_group", F.explode(python.aligned_column("src_sents", "tgt_sents", window, cutoff)))
+        return rows.withColumns({"source": side("src_sents", "source"), "target": side("tgt_sents", "target")}).drop("own_group")
+
+    return run
+
+
+def split_edits(window: int = 5, cutoff: float = 0.5, context: int = 20) -> Transform:
+    """From page texts to matched sentences that differ: sections of one title, references out, markup out, tokens, alignment."""
+
+    def run(df: DataFrame) -> DataFrame:
+        rows = df.transform(split_sections).transform(process_references).transform(clean_markup).transform(tokenize).transform(align_sentences(window, cutoff, context))
+        return rows.filter(F.col("source.tokens") != F.col("target.tokens"))
+
+    return run
+
+
 def negatives_before(page: str, order: Sequence[str], comment: str, out: str = "negatives") -> Transform:
     """Adds the comments of the page's earlier rows, in order."""
     before = Window.partitionBy(page).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

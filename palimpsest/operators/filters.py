@@ -19,6 +19,16 @@ def page_ids(ids: Sequence[str], column: str = "page_id") -> Transform:
     return where(F.col(column).isin(list(ids)))
 
 
+def first_pages(n: int, page: str = "page_id", order: Sequence[str] = ("file", "seq")) -> Transform:
+    """Rows of the n pages that begin first: each page's first row is found, and the least n of those are joined."""
+
+    def run(df: DataFrame) -> DataFrame:
+        begin = df.groupBy(page).agg(F.min(F.struct(*order)).alias("own_first")).orderBy("own_first", page).limit(n)
+        return df.join(begin.select(page), page, "left_semi")
+
+    return run
+
+
 def has_comment(column: str = "comment_text") -> Transform:
     return where(F.length(column) > 0)
 
