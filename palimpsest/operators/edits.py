@@ -114,7 +114,7 @@ def sentence_context(left: int = 1, right: int = 1, inclusive_end: bool = False)
     def run(df: DataFrame) -> DataFrame:
         diff, sents, toks = F.col("tgt_token_diff"), F.col("tgt_sents"), F.col("tgt_tokens")
         rows = df.filter(F.size(diff) > 0).withColumn("own_offsets", arrays.offsets(sents))
-        rows = rows.withColumns({"own_first": F.get(diff, 0), "own_last": F.element_at(diff, -1)})
+        rows = rows.withColumns({"own_first": F.get(diff, 0), "own_last": F.try_element_at(diff, F.lit(-1))})
         rows = rows.withColumns({"own_a": arrays.sentence_of(F.col("own_offsets"), F.col("own_first")), "own_b": arrays.sentence_of(F.col("own_offsets"), F.col("own_last"))})
         rows = rows.withColumns({"own_min": F.least("own_a", "own_b"), "own_max": F.greatest("own_a", "own_b")})
         lo, hi, first = F.col("own_min"), F.col("own_max"), F.col("own_first")
@@ -163,7 +163,7 @@ def restrict_to_section(df: DataFrame) -> DataFrame:
 
 def split_sections(df: DataFrame) -> DataFrame:
     """One row for each source section with a target section of that title (the last one of a title): section, src_text, tgt_text."""
-    both = df.withColumn("own_src", F.explode(text.sections(F.col("src_text")))).withColumn("own_tgt", F.element_at(F.filter(text.sections(F.col("tgt_text")), lambda s: s["title"] == F.col("own_src.title")), -1))
+    both = df.withColumn("own_src", F.explode(text.sections(F.col("src_text")))).withColumn("own_tgt", F.try_element_at(F.filter(text.sections(F.col("tgt_text")), lambda s: s["title"] == F.col("own_src.title")), F.lit(-1)))
     kept = both.filter(F.col("own_tgt").isNotNull())
     return kept.withColumns({"section_title": F.col("own_src.title"), "src_text": F.col("own_src.text"), "tgt_text": F.col("own_tgt.text")}).drop("own_src", "own_tgt")
 

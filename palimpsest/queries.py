@@ -134,10 +134,16 @@ def valid_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.valid_url(site).alias("valid"))
 
 
-_HTML = r"""
-SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&'), '[\t \r\n\x{a0}]+', ' ', 'g'))) AS text_md5
-FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)
-"""
+def _html_text_sql(html: str) -> str:
+    tags = f"regexp_replace(regexp_replace(regexp_replace({html}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    for entity, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
+        tags = f"replace({tags}, '{entity}', {char})"
+    return rf"trim(regexp_replace({tags}, '[\t \r\n\x{{a0}}]+', ' ', 'g'))"
+
+
+_HTML = f"SELECT page_id, md5({_html_text_sql('html')}) AS text_md5 FROM pages"
+_ARTICLE = r"""(SELECT page_id, url, CASE WHEN inside <> '' THEN inside ELSE outside END AS html FROM (SELECT page_id, url, regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) AS inside,
+  regexp_replace(html, '(?is)<(nav|aside|header|footer|form)[^>]*>.*?</(nav|aside|header|footer|form)>', ' ', 'g') AS outside FROM pages))"""
 
 
 @query(_HTML)
@@ -145,7 +151,7 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(text.html_to_text(F.col("html")).cast("binary")).alias("text_md5"))
 
 
-@query()
+@query(f"SELECT page_id, {_html_text_sql('html')} AS text FROM {_ARTICLE}")
 def main_article(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.main_article(F.col("html")).alias("text"))
 
@@ -550,7 +556,7 @@ def seq_diff_added_tokens(spark, sf_dir):
     return found.select("page_id", "seq", F.size("src_token_diff").alias("removed"), F.size("tgt_token_diff").alias("added"), F.size("tgt_token_diffs").alias("spans"))
 
 
-@query()
+@query(f"SELECT page_id, seq, src_text AS prefix, '' AS original, ' ' || tgt_text AS edited FROM {PAIRS} WHERE length(tgt_text) >= 20 AND len(list_filter(regexp_split_to_array(tgt_text, '[ \\t\\r\\n\\x0b\\x0c]+'), lambda w: w <> '')) > 3")
 def insertion_triples(spark, sf_dir):
     rows = _pairs(spark, sf_dir)
     rows = rows.withColumn("tgt_text", F.concat("src_text", F.lit(" "), "tgt_text"))
@@ -586,7 +592,16 @@ def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_pairs(edits_.join(cited(0, "urls_edit"), "own_page").join(cited(1, "urls_orig"), "own_page"), pages)
 
 
-@query()
+_INVALID = " OR ".join([*[f"ends_with(url, '{x}')" for x in text.BARE_SUFFIXES], f"contains(url, '{text.VIDEO_SITE}')"])
+
+
+@query(f"""
+WITH t AS (SELECT url, arg_max(text, length(text)) AS text FROM (SELECT url, {_html_text_sql('html')} AS text FROM {_ARTICLE} WHERE NOT ({_INVALID})) WHERE text <> '' GROUP BY url),
+p AS (SELECT page_id, url, (SELECT count(*) FROM pages) AS n FROM pages),
+d AS (SELECT *, length(text) // 2 AS half FROM documents)
+SELECT substr(d.text, 1, half) AS context, a.text AS grounding_0, substr(d.text, half + 1) AS target_0, b.text AS grounding_1, reverse(substr(d.text, half + 1)) AS target_1
+FROM d JOIN p e ON e.page_id % e.n = d.doc_id % e.n JOIN p o ON (o.page_id + 1) % o.n = d.doc_id % o.n JOIN t a ON a.url = e.url JOIN t b ON b.url = o.url WHERE e.url <> o.url
+""")
 def ablation_pairs(spark, sf_dir):
     return _ablation(spark, sf_dir)
 
@@ -598,7 +613,12 @@ def ablation_end_to_end(spark, sf_dir):
     return evaluate(grounding.as_dataset(_ablation(spark, sf_dir)))
 
 
-@query()
+_LANGUAGES = sorted(text.STOP_WORDS)
+_COUNTS = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39) for v in sorted(set(text.STOP_WORDS[k])))}))) AS {k}" for k in _LANGUAGES)
+_FIRST = " ".join(f"WHEN {k} = greatest({', '.join(_LANGUAGES)}) THEN '{k}'" for k in _LANGUAGES)
+
+
+@query(rf"SELECT doc_id, CASE WHEN greatest({', '.join(_LANGUAGES)}) = 0 THEN NULL {_FIRST} END AS lang FROM (SELECT doc_id, {_COUNTS} FROM (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 100000)), '[\p{{L}}\p{{N}}_]+') AS w FROM documents))")
 def document_languages(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.language(F.col("text")).alias("lang"))
 

@@ -45,3 +45,17 @@ def new_urls(stream: DataFrame, column: str = "url", time: str = "ts", delay: st
 def windowed_counts(stream: DataFrame, time: str = "ts", length: str = "1 hour", delay: str = "10 minutes", by: str = "event_type") -> DataFrame:
     """Rows by time window and a column, late ones up to the delay."""
     return stream.withWatermark(time, delay).groupBy(F.window(time, length), by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fetch_progress(stream: DataFrame, time: str = "ts", delay: str = "1 day") -> DataFrame:
+    """(url, ts) of each URL's first result that isn't an error (error null): what a fetcher that starts anew needn't ask for again.
+
+    The stream's checkpoint is the crawl's state; a URL that failed passes once it succeeds. Late results come up to the delay.
+    """
+    return stream.filter("error IS NULL").withWatermark(time, delay).dropDuplicatesWithinWatermark(["url"]).select("url", time)
+
+
+def outcome_counts(stream: DataFrame) -> DataFrame:
+    """Results by outcome (found, empty or failed), for a query in update or complete mode."""
+    outcome = F.when(F.col("error").isNull(), "found").when(F.col("error") == "empty", "empty").otherwise("failed")
+    return stream.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
