@@ -76,12 +76,15 @@ def only(df: DataFrame, since: int) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Collect garbage on the driver: executors then drop the broadcasts and shuffles that nothing refers to any more.
+    """Collect garbage on the driver, so that executors drop the broadcasts and shuffles that nothing refers to any more, and
+    then on the executors, by a small job: they give the freed heap back to the system.
 
-    A long run of small jobs else fills their memory with those, as the driver collects too seldom by itself.
+    A long run of small jobs else fills their memory with those, and keeps it beside what Python workers need.
     """
     gc.collect()
     spark._jvm.System.gc()
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
 
 
 def compact(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
