@@ -12,27 +12,32 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the tagger, trained on the labelled ones among them, predicts to be toxic."""
+    common.tidy(spark)
     model = toxicity.fit(docs, toxicity.labels(spark, sf_dir))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one row for each text that is equal but for white space: that with the least doc_id."""
+    common.tidy(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one document for each class of near copies: that with the least doc_id."""
+    common.tidy(spark)
     return near_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs mixed to the sources' target weights: each row as often (0, 1 or 2 times) as the mix takes it."""
+    common.tidy(spark)
     return mixing.mixed_documents(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source and text with n_tokens, and the digests of each text's ids and of what they decode to."""
+    common.tidy(spark)
     return bpe.digests(docs, keep=["doc_id", "source", "text"])
 
 
