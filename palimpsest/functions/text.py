@@ -216,6 +216,22 @@ def file_article_estimate(name: Column) -> Column:
     return part(2) - part(1)
 
 
+def output_name(path: Column, start: int = 27, end: int = 4) -> Column:
+    """A file's base name without its first `start` and last `end` characters, '' if nothing is left."""
+    base = F.element_at(F.split(path, "/"), -1)
+    return F.substring(base, F.lit(start + 1), F.greatest(F.length(base) - start - end, F.lit(0)))
+
+
+def sample_line(task: Column, n: Column, of: Column, fields: Sequence[Column], src_tokens: Column, tgt_tokens: Column, src_diff: Column, tgt_diff: Column, mark: str = "^") -> Column:
+    """A log line of a sampled revision: [task] n/of, the fields, [tokens|tokens], [changed], [changed], parted by the mark; null is ''."""
+    some = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    size = lambda c: F.when(c.isNull(), "0").otherwise(F.size(c).cast("string"))
+    listed = lambda c: F.concat(F.lit("["), F.coalesce(F.array_join(c.cast("array<string>"), ","), F.lit("")), F.lit("]"))
+    head = F.concat(F.lit("["), some(task), F.lit("] "), some(n), F.lit("/"), some(of))
+    sizes = F.concat(F.lit("["), size(src_tokens), F.lit("|"), size(tgt_tokens), F.lit("]"))
+    return F.concat_ws(mark, head, *[some(c) for c in fields], sizes, listed(src_diff), listed(tgt_diff))
+
+
 def roman(n: int) -> str:
     """Roman numeral of a positive number."""
     out = ""

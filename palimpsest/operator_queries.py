@@ -13,7 +13,7 @@ from palimpsest.functions import text, windows
 from palimpsest.operators import edits, filters, grounding, scoring
 from palimpsest.pipeline import chain, flat_map
 from palimpsest.queries import ORACLE_SQL, QUERIES, query, table
-from palimpsest.sources import dumps, sinks
+from palimpsest.sources import dumps, sinks, stores
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -366,3 +366,85 @@ def trimmed_sides(spark, sf_dir):
     rows = _sentence_lists(spark, sf_dir).withColumn("t", windows.trimmed_column("src_sents", "tgt_sents", 10))
     left = F.when(F.col("t.source").isNull(), 2).otherwise(F.size("t.source"))
     return rows.select("o_orderkey", F.col("t.before").alias("before"), left.alias("left_over"))
+
+
+@query("SELECT page_id, url, md5(html) AS html_md5 FROM pages WHERE page_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233)")
+def stored_pages(spark, sf_dir):
+    """All pages written to a store, and a few found in it by their ids, one of them asked for twice, one not there."""
+    path = sinks.scratch_dir(spark, "store")
+    stores.write_page_store(table(spark, sf_dir, "pages"), path, "page_id", buckets=8)
+    found = stores.find_pages(spark, path, [1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 1, -7, None], "page_id")
+    return found.select("page_id", "url", F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
+@query("SELECT 'T&' || doc_id AS title, CASE doc_id % 3 WHEN 0 THEN '10' ELSE '828' END AS ns, CAST(doc_id AS VARCHAR) AS id, md5(coalesce(text, '')) AS text_md5 FROM documents WHERE doc_id % 3 < 2")
+def template_files(spark, sf_dir):
+    """Documents as templates, modules and articles: the first two are written as page elements and read back."""
+    path, kind = sinks.scratch_dir(spark, "templates"), F.pmod("doc_id", F.lit(3))
+    ns = F.when(kind == 0, "10").when(kind == 1, "828").otherwise("0")
+    stores.write_templates(table(spark, sf_dir, "documents").select(F.concat(F.lit("T&"), "doc_id").alias("title"), ns.alias("ns"), F.col("doc_id").alias("id"), "text"), path)
+    return stores.read_templates(spark, path).select("title", "ns", "id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("SELECT url AS key, page_id AS n, md5(html) AS html_md5 FROM pages WHERE url IS NOT NULL")
+def json_maps(spark, sf_dir):
+    """Pages by URL as JSON objects, one a file, and back."""
+    path = sinks.scratch_dir(spark, "maps")
+    rows = table(spark, sf_dir, "pages").select("url", F.struct(F.col("page_id").alias("n"), "html").alias("page"))
+    stores.write_json_map(rows, "url", "page", path, files=3)
+    return stores.read_json_map(spark, path, "struct<n:bigint,html:string>").select("key", F.col("value.n").alias("n"), F.md5(F.col("value.html").cast("binary")).alias("html_md5"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS line, CAST(strlen(coalesce(text, '')) AS INTEGER) AS bytes, true AS fits FROM documents")
+def sized_files(spark, sf_dir):
+    """Documents, a line each, in files of at most 100 kB; fits: whether a line's file holds so much, or one line alone."""
+    path = sinks.scratch_dir(spark, "sized")
+    flat = F.concat_ws(" ", "doc_id", F.translate(F.coalesce("text", F.lit("")), "\n\r", "  "))
+    stores.write_sized(table(spark, sf_dir, "documents"), path, flat, 100_000)
+    rows = spark.read.text(path)
+    size = rows.groupBy("part", "file").agg(F.sum(F.octet_length("value") + 1).alias("size"), F.count(F.lit(1)).alias("n"))
+    line = F.substring_index("value", " ", 1)
+    return rows.join(size, ["part", "file"]).select(line.alias("line"), (F.octet_length("value") - F.length(line) - 1).alias("bytes"), ((F.col("size") <= 100_000) | (F.col("n") == 1)).alias("fits"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 2 THEN url END AS html, CASE page_id % 3 WHEN 0 THEN 'OSError: gone' WHEN 1 THEN 'empty' END AS error, CAST(CASE page_id % 3 WHEN 0 THEN 2 ELSE 0 END AS INTEGER) AS round FROM pages")
+def resumed_fetches(spark, sf_dir):
+    """Three rounds of fetches, in two runs over one table of results: what failed is tried again, what was found or empty isn't."""
+
+    def get(row: dict) -> dict | None:
+        if row["page_id"] % 3 == 0:
+            raise OSError("gone")
+        return {"html": row["url"]} if row["page_id"] % 3 == 2 else None
+
+    path, wanted = sinks.scratch_dir(spark, "fetches"), table(spark, sf_dir, "pages").select("page_id", "url")
+    stores.fetch_missing(wanted, path, get, key="page_id", rounds=1)
+    return stores.fetch_missing(wanted, path, get, key="page_id", rounds=2)
+
+
+@query("""
+SELECT '[7] ' || o_orderkey || '/' || o_custkey || '^order^' || o_orderstatus || '^' || CASE o_orderkey % 4 WHEN 0 THEN '[10|13]^[]^[4,5,6]' WHEN 3 THEN '[10|13]^[]^[4,5,6]' WHEN 1 THEN '[10|14]^[]^[4,5,6,12]' ELSE '[10|13]^[3]^[3,4,5,6]' END AS line FROM orders
+""")
+def sample_lines(spark, sf_dir):
+    """A log line for each edit."""
+    found = edits.token_diff(_edited_orders(spark, sf_dir)).join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
+    line = text.sample_line(F.lit(7), F.col("o_orderkey"), F.col("o_custkey"), [F.lit("order"), F.col("o_orderstatus")], F.col("src_tokens"), F.col("tgt_tokens"), F.col("src_token_diff"), F.col("tgt_token_diff"))
+    return found.select(line.alias("line"))
+
+
+@query("SELECT o_orderkey, 'meta-history1.xml-p' || o_orderkey || 'p' || o_custkey AS name FROM orders")
+def output_names(spark, sf_dir):
+    """Names of dump files cut down to what tells them apart."""
+    path = F.concat(F.lit("s3a://d/dumps/enwiki-20190801-pages-xxxx-meta-history1.xml-p"), "o_orderkey", F.lit("p"), "o_custkey", F.lit(".bz2"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.output_name(path).alias("name"))
+
+
+@query("SELECT n_name AS id, 'x/' || n_name || '/paths.gz' AS paths, 'y/cdx-' || n_name || '.gz' AS url FROM nation")
+def crawl_listing(spark, sf_dir):
+    """A listing of crawls, and the index files that the lists of each one name."""
+    path = sinks.scratch_dir(spark, "listing")
+    listed = table(spark, sf_dir, "nation").select(F.to_json(F.struct(F.col("n_name").alias("id"), F.lit("x").alias("name"))).alias("value"))
+    whole = listed.agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n"), F.lit("]")).alias("value"))
+    whole.write.text(path)
+    found = stores.read_collections(spark, path, "x/{}/paths.gz")
+    lines = found.select("id", "paths", F.explode(F.array(F.concat(F.lit(" cdx-"), "id", F.lit(".gz\t")), F.concat(F.lit("warc-"), "id"))).alias("value"))
+    return stores.index_urls(lines, "y/{}").select("id", "paths", "url")

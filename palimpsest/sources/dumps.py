@@ -192,12 +192,13 @@ def split_response(record: Column) -> Column:
     return F.when((F.size(parts) == 3) & F.contains(F.get(parts, 1), F.lit("200 OK")), F.struct(F.get(parts, 0).alias("warc"), F.get(parts, 1).alias("http"), F.get(parts, 2).alias("body")))
 
 
-def fetch_tried(metas: DataFrame, fetcher, schema: str = "url string, html string") -> DataFrame:
-    """A row for each meta, by fetcher(dict) -> dict or None in the tasks: the page's columns, and error.
+def fetch_tried(metas: DataFrame, fetcher, schema: str = "url string, html string", keep: Sequence[str] = ()) -> DataFrame:
+    """A row for each meta, by fetcher(dict) -> dict or None in the tasks: its columns `keep`, the page's columns, and error.
 
     A page that can't be had is a page less: its columns are null, and error says why ('empty' where the fetcher gave none).
     """
-    names = [f.split()[0] for f in schema.split(", ")]
+    names, keep = [f.split()[0] for f in schema.split(", ")], list(keep)
+    kept = "".join(f"`{c}` {metas.schema[c].dataType.simpleString()}, " for c in keep)
 
     def run(batches):
         import pandas as pd
@@ -209,10 +210,11 @@ def fetch_tried(metas: DataFrame, fetcher, schema: str = "url string, html strin
                     got, error = fetcher(row), "empty"
                 except Exception as e:  # noqa: BLE001  counted by fetch_counts()
                     got, error = None, f"{type(e).__name__}: {e}"
-                found.append((*[got.get(n) for n in names], None) if got else (*[None] * len(names), error))
-            yield pd.DataFrame(found, columns=[*names, "error"])
+                own = [row[c] for c in keep]
+                found.append((*own, *[got.get(n) for n in names], None) if got else (*own, *[None] * len(names), error))
+            yield pd.DataFrame(found, columns=[*keep, *names, "error"])
 
-    return metas.mapInPandas(run, f"{schema}, error string")
+    return metas.mapInPandas(run, f"{kept}{schema}, error string")
 
 
 def fetch(metas: DataFrame, fetcher, schema: str = "url string, html string") -> DataFrame:
