@@ -458,9 +458,9 @@ def _comment_checks(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", filters.comment_accepted(8, "text").alias("accepted"), filters.comment_rejected(F.col("text"), F.col("turn") % 4, 2).alias("rejected"))
 
 
-@query("SELECT doc_id, substr(text, 1, 600) AS preview, length(text) AS n FROM documents WHERE length(text) > 600")
+@query("SELECT doc_id, substr(text, 1, 600) AS preview, length(text) AS n FROM documents")
 def previews(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.length("text") > 600).select("doc_id", F.substring("text", 1, 600).alias("preview"), F.length("text").cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 600).alias("preview"), F.length("text").cast("long").alias("n"))
 
 
 @query("SELECT doc_id, concat_ws(chr(9), CAST(doc_id AS VARCHAR), coalesce(lang, ''), coalesce(source, ''), CAST(n_chars AS VARCHAR)) AS line FROM documents")
