@@ -5,13 +5,17 @@ from __future__ import annotations
 import html
 import math
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _DIFF = T.StructType([T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("src", "tgt")])
+_MATCHES = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("score", T.DoubleType())]))
 _INSERTION = T.StructType([T.StructField(n, T.StringType()) for n in ("prefix", "original", "edited")])
 
 
@@ -25,6 +29,27 @@ def changed_indices(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:
     return gone, new
 
 
+#: Rows of an Arrow batch that are Python objects at a time.
+ROWS_AT_ONCE = 256
+
+
+def _lists(a: pa.Array) -> list:
+    """A column of lists as Python lists, through NumPy, which takes a fraction of to_pylist()'s time."""
+    if not (pa.types.is_list(a.type) or pa.types.is_large_list(a.type)):
+        return a.to_numpy(zero_copy_only=False).tolist()
+    values, found, at = _lists(a.flatten()), [], 0
+    for n in a.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False).tolist():
+        found.append(None if n < 0 else values[at : at + n])
+        at += max(n, 0)
+    return found
+
+
+def _parts(a: pa.Array, b: pa.Array) -> Iterator[Iterator[tuple[list, list]]]:
+    """Pairs of two list columns, ROWS_AT_ONCE of them as Python lists; null lists count as empty."""
+    for k in range(0, len(a), ROWS_AT_ONCE):
+        yield ((x or [], y or []) for x, y in zip(*(_lists(c.slice(k, ROWS_AT_ONCE)) for c in (a, b)), strict=True))
+
+
 @F.pandas_udf(_DIFF)
 def seq_diff(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Struct of src and tgt: the changed indices of two token arrays; null arrays count as empty."""
@@ -59,25 +84,62 @@ def insertion_column(original, edited, min_chars: int = 100, min_words: int = 10
     return F.when(made["edited"].isNotNull(), made)
 
 
-def bleu(reference: list[str], candidate: list[str], most: int = 4) -> float:
-    """Sentence BLEU with uniform weights over 1 to 4 word n-grams, unsmoothed, with brevity penalty."""
+def _grams(tokens: list[str], most: int = 4) -> list[Counter]:
+    return [Counter(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)) for n in range(1, most + 1)]
+
+
+def _bleu(reference: list[str], candidate: list[str], theirs: list[Counter], own: list[Counter]) -> float:
+    """bleu() of two sentences with their n-grams."""
     if not candidate or not reference:
         return 0.0
-    logs = 0.0
-    for n in range(1, most + 1):
-        own = Counter(tuple(candidate[i : i + n]) for i in range(len(candidate) - n + 1))
-        theirs = Counter(tuple(reference[i : i + n]) for i in range(len(reference) - n + 1))
-        shared = sum((own & theirs).values())
+    logs, most = 0.0, len(own)
+    for n in range(most):
+        a, b = own[n], theirs[n]
+        small, large = (a, b) if len(a) < len(b) else (b, a)
+        shared = sum(min(k, large[g]) for g, k in small.items() if g in large)
         if not shared:
             return 0.0
-        logs += math.log(shared / sum(own.values())) / most
+        logs += math.log(shared / (len(candidate) - n)) / most
     short = min(0.0, 1 - len(reference) / len(candidate))
     return math.exp(logs + short)
 
 
-@F.pandas_udf(T.DoubleType())
-def bleu_column(reference: pd.Series, candidate: pd.Series) -> pd.Series:
-    return pd.Series([bleu(list(a) if a is not None else [], list(b) if b is not None else []) for a, b in zip(reference, candidate, strict=True)], dtype=float)
+def bleu(reference: list[str], candidate: list[str], most: int = 4) -> float:
+    """Sentence BLEU with uniform weights over 1 to 4 word n-grams, unsmoothed, with brevity penalty."""
+    return _bleu(reference, candidate, _grams(reference, most), _grams(candidate, most))
+
+
+def best_matches(source: list[list[str] | None], target: list[list[str] | None], window: int) -> list[tuple[int, int, float]]:
+    """(i, j, BLEU) of each source sentence and its best target sentence (of equal ones the first) from window before it to
+    window - 1 after; sentences with none there go. Null sentences count as empty."""
+    src, tgt = [[s or [] for s in x] for x in (source, target)]
+    grams: dict[int, list[Counter]] = {}
+    found = []
+    for i, s in enumerate(src):
+        lo, hi = max(0, i - window), min(len(tgt), i + window)
+        if lo >= hi:
+            continue
+        for j in [j for j in grams if j < lo]:
+            del grams[j]
+        own = _grams(s)
+        for j in range(lo, hi):
+            if j not in grams:
+                grams[j] = _grams(tgt[j])
+        score, minus = max((_bleu(s, tgt[j], own, grams[j]), -j) for j in range(lo, hi))
+        found.append((i, -minus, score))
+    return found
+
+
+def best_matches_column(source: Column | str, target: Column | str, window: int) -> Column:
+    """best_matches() as a column: array of (i, j, score); null arrays count as empty."""
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("score", pa.float64())]))
+
+    @F.arrow_udf(_MATCHES)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        parts = [pa.array([[{"i": i, "j": j, "score": score} for i, j, score in best_matches(x, y, window)] for x, y in part], kind) for part in _parts(a, b)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return run.asNondeterministic()(source, target)
 
 
 @F.pandas_udf(T.StringType())

@@ -177,19 +177,17 @@ def match_sentences(window: int = 5, context: int = 20) -> Transform:
     """One row for each source sentence with its best match (BLEU; of equal ones the first) among target sentences window
     before it to window - 1 after: struct columns source and target with tokens and contexts, and match_score.
 
-    The source's right context starts at the sentence itself. Adds row_id; one shuffle brings matches together.
+    The source's right context starts at the sentence itself. Adds row_id. A row's matches are found in one call, so nothing is
+    shuffled, and no more than the matches is made.
     """
 
     def run(df: DataFrame) -> DataFrame:
-        rows = df.withColumn("row_id", F.monotonically_increasing_id())
-        pairs = rows.select("*", F.posexplode("src_sents").alias("i", "own_s"))
-        near = F.filter(F.transform("tgt_sents", lambda s, j: F.struct(j.alias("j"), s.alias("tokens"))), lambda x: (x["j"] >= F.col("i") - window) & (x["j"] < F.col("i") + window))
-        scored = pairs.withColumn("own_t", F.explode(near)).withColumn("score", python.bleu_column("own_s", F.col("own_t.tokens")))
-        best = scored.groupBy("row_id", "i").agg(F.max(F.struct(F.col("score"), (-F.col("own_t.j")).alias("minus"))).alias("best"))
-        joined = pairs.join(best, ["row_id", "i"])
-        j = (-F.col("best.minus")).cast("int")
+        rows = df.withColumn("row_id", F.monotonically_increasing_id()).withColumn("own_best", python.best_matches_column("src_sents", "tgt_sents", window))
+        best = rows.withColumn("own_m", F.explode("own_best")).withColumn("i", F.col("own_m.i"))
+        i, j = F.col("i"), F.col("own_m.j")
         side = lambda sents, at, left, right: F.struct(F.get(sents, at).alias("tokens"), F.array_join(F.get(sents, at), " ").alias("sentence"), arrays.py_slice(F.col(sents), F.greatest(at - context, F.lit(0)), at).alias("left_context"), arrays.py_slice(F.col(sents), at + right, at + context + 1).alias("right_context"))
-        return joined.withColumns({"source": side("src_sents", F.col("i"), 0, 0), "target": side("tgt_sents", j, 0, 1), "match_score": F.col("best.score")}).drop("own_s", "best")
+        made = best.withColumns({"source": side("src_sents", i, 0, 0), "target": side("tgt_sents", j, 0, 1), "match_score": F.col("own_m.score")})
+        return made.select("row_id", "i", *[c for c in df.columns if c not in ("row_id", "i")], "source", "target", "match_score")
 
     return run
 
