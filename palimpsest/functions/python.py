@@ -50,11 +50,26 @@ def _parts(a: pa.Array, b: pa.Array) -> Iterator[Iterator[tuple[list, list]]]:
         yield ((x or [], y or []) for x, y in zip(*(_lists(c.slice(k, ROWS_AT_ONCE)) for c in (a, b)), strict=True))
 
 
-@F.pandas_udf(_DIFF)
-def seq_diff(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Struct of src and tgt: the changed indices of two token arrays; null arrays count as empty."""
-    rows = [changed_indices(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(a, b, strict=True)]
-    return pd.DataFrame({"src": [r[0] for r in rows], "tgt": [r[1] for r in rows]})
+@F.arrow_udf(_DIFF)
+def _seq_diff(a: pa.Array, b: pa.Array) -> pa.Array:
+    src, tgt = [], []
+    for part in _parts(a, b):
+        found = [changed_indices(x, y) for x, y in part]
+        src.append(pa.array([r[0] for r in found], pa.list_(pa.int32())))
+        tgt.append(pa.array([r[1] for r in found], pa.list_(pa.int32())))
+    whole = lambda parts: pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+    return pa.StructArray.from_arrays([whole(src), whole(tgt)], names=["src", "tgt"])
+
+
+_seq_diff = _seq_diff.asNondeterministic()
+
+
+def seq_diff(a: Column | str, b: Column | str) -> Column:
+    """Struct of src and tgt: the changed indices of two token arrays; null arrays count as empty.
+
+    Named nondeterministic, so that filters on it aren't pushed below it: each would find it anew, in Python workers of its own.
+    """
+    return _seq_diff(a, b)
 
 
 def single_insertion(original: str, edited: str, min_chars: int = 0, min_words: int = 0) -> tuple[str, str, str] | None:
