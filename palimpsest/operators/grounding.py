@@ -53,7 +53,7 @@ def crawl_time(filename: Column) -> Column:
 
 def longest_text(rows: DataFrame, key: str, value: str = "text") -> DataFrame:
     """(key, value): each key's longest text; of equally long ones the greatest."""
-    return rows.groupBy(key).agg(F.max_by(value, F.struct(F.length(value), value)).alias(value))
+    return rows.groupBy(key).agg(F.max(F.struct(F.length(value).alias("length"), F.col(value).alias("value")))["value"].alias(value))
 
 
 def first_hit(rows: DataFrame, key: str, priority: Sequence[str], value: str) -> DataFrame:

@@ -15,7 +15,7 @@ from palimpsest.sources.sinks import cstr_record
 def texts_of_pages(pages: DataFrame) -> DataFrame:
     """(url, text) of pages (url, html): the longest article text of each valid URL."""
     rows = pages.filter(text.valid_url(F.col("url"))).select("url", text.main_article(F.col("html")).alias("text"))
-    return grounding.longest_text(rows.filter("text <> ''").distinct(), "url")
+    return grounding.longest_text(rows.filter("text <> ''"), "url")
 
 
 def build_pairs(edits: DataFrame, pages: DataFrame, key: str = "rev_id") -> DataFrame:

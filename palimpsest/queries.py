@@ -588,8 +588,12 @@ def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = pages.count()
     docs, half = table(spark, sf_dir, "documents"), F.floor(F.length("text") / 2).cast("int")
     cited = lambda shift, name: pages.select(((F.col("page_id") + shift) % n).alias("own_page"), F.array("url").alias(name))
-    edits_ = docs.select(F.col("doc_id").cast("string").alias("rev_id"), (F.col("doc_id") % n).alias("own_page"), F.substring("text", F.lit(1), half).alias("prefix"), F.substring("text", half + 1, F.length("text")).alias("edited"), F.reverse(F.substring("text", half + 1, F.length("text"))).alias("original"))
-    return build_pairs(edits_.join(cited(0, "urls_edit"), "own_page").join(cited(1, "urls_orig"), "own_page"), pages)
+    # Pages are found by narrow rows, and the key is that of article_texts(): texts are shuffled once, as they are.
+    own = F.col("doc_id").cast("string").alias("rev_id")
+    urls = docs.select(own, (F.col("doc_id") % n).alias("own_page")).distinct().join(cited(0, "urls_edit"), "own_page").join(cited(1, "urls_orig"), "own_page")
+    texts = docs.select(own, "text").join(urls, "rev_id")
+    edits_ = texts.select("own_page", "rev_id", F.substring("text", F.lit(1), half).alias("prefix"), F.substring("text", half + 1, F.length("text")).alias("edited"), F.reverse(F.substring("text", half + 1, F.length("text"))).alias("original"), "urls_edit", "urls_orig")
+    return build_pairs(edits_, pages)
 
 
 _INVALID = " OR ".join([*[f"ends_with(url, '{x}')" for x in text.BARE_SUFFIXES], f"contains(url, '{text.VIDEO_SITE}')"])
