@@ -59,11 +59,20 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[plain(F.regexp_extract("value", rf"(?s)<{t}>(.*?)</{t}>", 1)).alias(t) for t in ("title", "ns", "id", "text")])
 
 
-def write_json_map(df: DataFrame, key: str, value: str, path: str, files: int | None = None) -> None:
-    """One JSON object a file, from key to value; `files` of them at most, or one a partition.
+#: A JSON map's file is read by one task, and as one string, which can't hold over 2 GB: files that would be larger become more.
+MAP_FILE_BYTES = 64 << 20
 
-    Keys should be distinct, null ones are left out. A null value is null.
+
+def write_json_map(df: DataFrame, key: str, value: str, path: str, files: int | None = None, max_bytes: int = MAP_FILE_BYTES) -> None:
+    """One JSON object a file, from key to value; `files` of them at most, or one a partition, while they keep to max_bytes.
+
+    If all entries take more than that, they are dealt by their hash to as many files as it takes, of about max_bytes each (a
+    longer entry is whole in its file). The entries' size is found by a pass before. Keys should be distinct, null ones are left out. A
+    null value is null.
     """
+    if max_bytes < 1:
+        raise ValueError("max_bytes is under 1")
+
     def shown(column: Column) -> Column:
         one = F.to_json(F.array(column), {"ignoreNullFields": "false"})  # strings and numbers have a JSON form in an array only
         return F.substring(one, F.lit(2), F.length(one) - 2)
@@ -80,7 +89,12 @@ def write_json_map(df: DataFrame, key: str, value: str, path: str, files: int |
                 before = ","
         yield lines(["}"])
 
-    dealt = rows if files is None else rows.coalesce(files)
+    parts = files or rows.rdd.getNumPartitions()
+    size = rows.agg(F.sum(F.octet_length("value") + 2)).first()[0] or 0
+    if size > parts * max_bytes:
+        dealt = rows.repartition(-(-size // max_bytes), "value")
+    else:
+        dealt = rows if files is None else rows.coalesce(files)
     dealt.mapInArrow(wrapped, "value string").write.mode("overwrite").text(path)
 
 
