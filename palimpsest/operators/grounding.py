@@ -11,6 +11,11 @@ from palimpsest.functions import arrays, text
 from palimpsest.functions.text import STOP_WORDS
 
 
+#: Of so many most frequent words control_tokens() keeps the counts with each task; each word less frequent is in less
+#: than one in 200 of all places.
+HOT_WORDS = 200
+
+
 def filter_index(lines: DataFrame, urls: DataFrame, column: str = "url") -> DataFrame:
     """Index lines whose URL is wanted (left semi; the wanted URLs needn't be distinct)."""
     return lines.join(urls.select(column), column, "left_semi")
@@ -104,14 +109,30 @@ def join_snippets(values: Column) -> Column:
     return F.nullif(F.array_join(values, " ;; "), F.lit(""))
 
 
-def control_tokens(rows: DataFrame, frequency: DataFrame, key: str, default: float = 1e6) -> DataFrame:
+def control_tokens(rows: DataFrame, frequency: DataFrame, key: str, default: float = 1e6, parts: int | None = None) -> DataFrame:
     """(key, control): the rarest token that is in both token arrays, target and grounding; else of the target; else n/a.
 
-    frequency: word, count; a word that isn't there counts as default. Ties: by word. One join on words and one on keys.
+    frequency: word, count; a word that isn't there counts as default. Ties: by word. One join on words and one on keys. Of
+    the HOT_WORDS most frequent words only a row's rarest can be its result, and that is found in the row: those words, which
+    are in most rows, aren't joined.
     """
+    n = F.coalesce(F.col("count").cast("double"), F.lit(default)).alias("n")
+    top = frequency.filter(F.col("word").isNotNull()).groupBy("word").agg(F.min(n).alias("n")).orderBy(F.desc("n"), F.desc("word")).limit(HOT_WORDS)
+    hot = top.agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("own_hot")).select(F.col("own_hot.word").alias("own_words"), F.col("own_hot.n").alias("own_ns"))
     shared = F.array_intersect("target", "grounding")
-    some = rows.select(key, F.explode_outer(F.when(F.size(shared) > 0, shared).otherwise(F.array_distinct("target"))).alias("word"))
-    counted = some.join(frequency, "word", "left").withColumn("n", F.coalesce(F.col("count").cast("double"), F.lit(default)))
+    every = F.when(F.size(shared) > 0, shared).otherwise(F.array_distinct("target"))
+    split = rows.select(key, every.alias("own_every")).crossJoin(F.broadcast(hot))
+    split = split.select(key, "own_words", "own_ns", F.array_except("own_every", "own_words").alias("own_cold"), F.get(F.array_intersect("own_words", "own_every"), 0).alias("own_best"))
+    best = F.struct(F.col("own_best").alias("word"), F.get("own_ns", F.array_position("own_words", F.col("own_best")).cast("int") - 1).alias("known"))
+    cold = F.transform("own_cold", lambda w: F.struct(w.alias("word"), F.lit(None).cast("double").alias("known")))
+    some = split.select(key, F.explode_outer(F.when(F.col("own_best").isNull(), cold).otherwise(F.concat(cold, F.array(best)))).alias("own")).select(key, "own.*")
+    # Rows that need no join have a key that no word is, spread by their own key; what it might find isn't used.
+    done = F.col("word").isNull() | F.col("known").isNotNull()
+    placed = some.withColumn("own_word", F.when(done, F.concat(F.lit("\0"), F.xxhash64(key).cast("string"))).otherwise(F.col("word")))
+    if parts:
+        placed = placed.repartition(parts, "own_word")
+    counts = frequency.select(F.col("word").alias("own_word"), n)
+    counted = placed.join(counts, "own_word", "left").withColumn("n", F.coalesce("known", F.when(F.col("word").isNotNull(), F.col("n")), F.lit(default)))
     return counted.groupBy(key).agg(F.coalesce(F.min_by("word", F.struct("n", "word")), F.lit("n/a")).alias("control"))
 
 

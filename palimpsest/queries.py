@@ -350,7 +350,9 @@ def rarest_shared_token(spark, sf_dir):
 def _rarest_shared(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.array_distinct(text.words(F.lower("text"))).alias("target"), F.array_distinct(text.words(F.lower(F.concat("source", F.lit(" the of and"))))).alias("grounding"))
     frequency = rows.select(F.explode("target").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
-    return grounding.control_tokens(rows, frequency, "doc_id")
+    # A split of texts makes some millions of words, so the join's partitions grow with the splits.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * docs.rdd.getNumPartitions())
+    return grounding.control_tokens(rows, frequency, "doc_id", parts=parts)
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(text.STOP_WORDS["en"])))
