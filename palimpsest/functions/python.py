@@ -8,8 +8,10 @@ from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +31,8 @@ def changed_indices(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:
     return gone, new
 
 
-#: Rows of an Arrow batch that are Python objects at a time.
-ROWS_AT_ONCE = 256
+#: Rows of an Arrow batch that are Python objects at a time, and bytes of their texts (with 64 for each text); a longer row is alone.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 16_000_000
 
 
 def _lists(a: pa.Array) -> list:
@@ -44,10 +46,22 @@ def _lists(a: pa.Array) -> list:
     return found
 
 
+def _ends(a: pa.Array) -> np.ndarray:
+    """Bytes of the texts, with 64 for each, up to the end of each row."""
+    if not (pa.types.is_list(a.type) or pa.types.is_large_list(a.type)):
+        return np.cumsum(pc.binary_length(a).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    ends = np.cumsum(a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    return np.append(0, _ends(a.flatten()))[ends]
+
+
 def _parts(a: pa.Array, b: pa.Array) -> Iterator[Iterator[tuple[list, list]]]:
-    """Pairs of two list columns, ROWS_AT_ONCE of them as Python lists; null lists count as empty."""
-    for k in range(0, len(a), ROWS_AT_ONCE):
-        yield ((x or [], y or []) for x, y in zip(*(_lists(c.slice(k, ROWS_AT_ONCE)) for c in (a, b)), strict=True))
+    """Pairs of two list columns, ROWS_AT_ONCE or BYTES_AT_ONCE of them as Python lists; null lists count as empty."""
+    ends, k = _ends(a) + _ends(b), 0
+    while k < len(a):
+        most = (ends[k - 1] if k else 0) + BYTES_AT_ONCE
+        n = min(ROWS_AT_ONCE, max(1, int(np.searchsorted(ends, most, "right")) - k))
+        yield ((x or [], y or []) for x, y in zip(*(_lists(c.slice(k, n)) for c in (a, b)), strict=True))
+        k += n
 
 
 @F.arrow_udf(_DIFF)
