@@ -35,10 +35,14 @@ def changed_indices(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:
 ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 16_000_000
 
 
+def _texts(a: pa.Array) -> bool:
+    return any(f(a.type) for f in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary))
+
+
 def _lists(a: pa.Array) -> list:
-    """A column of lists as Python lists, through NumPy, which takes a fraction of to_pylist()'s time."""
+    """A column of lists as Python lists; texts go through NumPy, which takes a fraction of to_pylist()'s time, but makes nulls of numbers NaN."""
     if not (pa.types.is_list(a.type) or pa.types.is_large_list(a.type)):
-        return a.to_numpy(zero_copy_only=False).tolist()
+        return a.to_numpy(zero_copy_only=False).tolist() if _texts(a) else a.to_pylist()
     values, found, at = _lists(a.flatten()), [], 0
     for n in a.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False).tolist():
         found.append(None if n < 0 else values[at : at + n])
@@ -47,9 +51,10 @@ def _lists(a: pa.Array) -> list:
 
 
 def _ends(a: pa.Array) -> np.ndarray:
-    """Bytes of the texts, with 64 for each, up to the end of each row."""
+    """Bytes of the texts, with 64 for each, up to the end of each row; 64 for each value that is no text."""
     if not (pa.types.is_list(a.type) or pa.types.is_large_list(a.type)):
-        return np.cumsum(pc.binary_length(a).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        own = pc.binary_length(a).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) if _texts(a) else np.zeros(len(a), np.int64)
+        return np.cumsum(own + 64)
     ends = np.cumsum(a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     return np.append(0, _ends(a.flatten()))[ends]
 
